@@ -49,7 +49,7 @@ ORACLE: dict[str, str] = {
     "op2_warc_archive": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, html, octet_length(encode(html)) AS payload_bytes, sha1(html) AS h FROM p),
-        b AS (SELECT *, list_aggregate(list_transform(range(32), k -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        b AS (SELECT *, list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                 CAST((CAST('0x' || substr(h, CAST(floor(k / 4) AS BIGINT) * 5 + 1, 5) AS BIGINT) >> CAST(15 - 5 * (k % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)),
                 'string_agg', '') AS payload_digest,
               min(page_id) OVER (PARTITION BY html) AS leader FROM d)
@@ -61,7 +61,7 @@ ORACLE: dict[str, str] = {
         WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
         a AS (SELECT doc_id, source, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
                 length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-                list_filter(string_split(t, chr(10)), l -> regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM d),
+                list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM d),
         x AS (SELECT doc_id, unnest(range(len(w) - 4)) AS i, w FROM a WHERE len(w) > 4),
         g AS (SELECT doc_id, i, list_slice(w, i + 1, i + 5) AS five FROM x),
         r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, five) AS n FROM g),
@@ -79,8 +79,8 @@ ORACLE: dict[str, str] = {
                NOT base_failed AND bad IS NULL AS kept, bad IS NOT NULL AS host_failed
         FROM f LEFT JOIN v USING (source)""",
     "op10_maxscore_search": """
-        WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
-                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
               FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
         r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
