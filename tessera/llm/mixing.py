@@ -168,7 +168,8 @@ def taken(mixed: Mix) -> DataFrame:
     """doc_id, source (null again where it was), size, source_size, target and taken for every document."""
     times = mixed.slots.groupBy("index", "block").agg(F.count("*").alias("_times"))
     row = ["doc_id", "source", "_null", "size", "start", "source_size", "target"]
-    parts = pieces(mixed).join(times, ["index", "block"], "left")
+    # The planner takes the slots for as few as the shards they come from and would broadcast them.
+    parts = pieces(mixed).join(times.hint("merge"), ["index", "block"], "left")
     full = parts.groupBy(*row).agg(F.sum((F.col("high") - F.col("low")) * F.coalesce("_times", F.lit(0))).alias("taken"))
     source = common.small(mixed.sources).select("source", "_null", "source_size", "target")
     none = mixed.documents.filter("size = 0").join(source, ["source", "_null"]).select(*row, F.lit(0).cast("long").alias("taken"))
@@ -200,7 +201,7 @@ def mixed_documents(docs: DataFrame, mixed: Mix | None = None) -> DataFrame:
     A list of runs is bounded by the document's own length; equal rows (id, source, text) share one copy of the text.
     """
     mixed = mixed or mix(docs)
-    parts = pieces(mixed).join(mixed.slots, ["index", "block"]).groupBy("doc_id", "source", "_null", "_hash", "start", "epoch")
+    parts = pieces(mixed).join(mixed.slots.hint("merge"), ["index", "block"]).groupBy("doc_id", "source", "_null", "_hash", "start", "epoch")
     runs = parts.agg(F.collect_list(F.struct(F.col("low").cast("int").alias("low"), F.col("high").cast("int").alias("high"))).alias("runs"))
     null = F.col("source").isNull()
     full = docs.select(*common.DOCUMENT).select(

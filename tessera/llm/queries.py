@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, language, mixing, packing, quality, search, warc
+from . import common, language, mixing, near, packing, quality, search, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op7_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.groups(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_maxscore_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_source_mix, op2_warc_archive, op4_best_fit_packing, op5_quality_rules, op8_language_id, op10_maxscore_search)
+    for f in (op1_source_mix, op2_warc_archive, op4_best_fit_packing, op5_quality_rules, op7_minhash_forest, op8_language_id, op10_maxscore_search)
 }
 
 #: Where the result is a function of the tables that SQL can state. The others are tested against brute force or held-out accuracy.
@@ -78,6 +82,16 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                NOT base_failed AND bad IS NULL AS kept, bad IS NOT NULL AS host_failed
         FROM f LEFT JOIN v USING (source)""",
+    "op7_minhash_forest": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        x AS (SELECT doc_id, w, unnest(range(greatest(1, len(w) - 2))) AS i FROM w WHERE len(w) > 0),
+        s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i + 1, i + 3), ' ') || CASE WHEN len(w) < 3 THEN chr(10) || len(w) ELSE '' END AS s FROM x),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        r(doc_id, o) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.o = e.a),
+        m AS (SELECT doc_id, min(o) AS component_id FROM r GROUP BY doc_id)
+        SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, m.doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)""",
     "op10_maxscore_search": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
