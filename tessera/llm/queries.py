@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, language, mixing, near, packing, quality, search, warc
+from . import common, language, mixing, near, packing, quality, search, substrings, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,13 +39,17 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removed(table(spark, sf_dir, "documents"))
+
+
 def op10_maxscore_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_source_mix, op2_warc_archive, op4_best_fit_packing, op5_quality_rules, op7_minhash_forest, op8_language_id, op10_maxscore_search)
+    for f in (op1_source_mix, op2_warc_archive, op4_best_fit_packing, op5_quality_rules, op7_minhash_forest, op8_language_id, op9_suffix_dedup, op10_maxscore_search)
 }
 
 #: Where the result is a function of the tables that SQL can state. The others are tested against brute force or held-out accuracy.
