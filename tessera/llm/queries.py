@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, language, mixing, near, packing, quality, search, substrings, warc
+from . import common, language, mixing, near, packing, personal, quality, search, substrings, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.find(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groups(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_maxscore_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_source_mix, op2_warc_archive, op4_best_fit_packing, op5_quality_rules, op7_minhash_forest, op8_language_id, op9_suffix_dedup, op10_maxscore_search)
+    for f in (op1_source_mix, op2_warc_archive, op4_best_fit_packing, op5_quality_rules, op6_personal_data, op7_minhash_forest, op8_language_id, op9_suffix_dedup, op10_maxscore_search)
 }
 
 #: Where the result is a function of the tables that SQL can state. The others are tested against brute force or held-out accuracy.
