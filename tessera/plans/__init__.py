@@ -1 +1,4 @@
-"""Spark-first building blocks."""
+"""Queries by family; importing this package registers them all."""
+
+from . import text_queries  # noqa: F401
+from .registry import ORACLE, QUERIES  # noqa: F401
