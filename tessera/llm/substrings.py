@@ -177,8 +177,9 @@ def resolved(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     again = first.filter("n > 1").select("k", "c", F.col("doc_id").alias("_doc"), F.col("lo").alias("_lo"))
     later = rows.join(again, ["k", "c"]).filter("doc_id <> _doc or lo <> _lo")
     runs = later.select("doc_id", F.col("lo").cast("int").alias("a"), (F.col("lo") + F.col("more") + length).cast("int").alias("b"))
-    shared = first.groupBy("k").agg(F.count("*").alias("m")).filter("m > 1")
-    return runs, first.join(shared, "k", "left_semi").select("doc_id", "lo", "more", "off")
+    # Written, so that the join's two sides are dealt out for the join alone and Spark may split a hot trigger.
+    shared = common.save(first.groupBy("k").agg(F.count("*").alias("m")).filter("m > 1").select("k"))
+    return runs, first.join(common.small(shared, BOUND), "k", "left_semi").select("doc_id", "lo", "more", "off")
 
 
 def joined(runs: DataFrame) -> DataFrame:
