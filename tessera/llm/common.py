@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -49,13 +50,10 @@ def save(df: DataFrame, *partition: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes saved tables that nothing reads any more, and lets Spark drop the shuffle files that led to them."""
-    jvm = spark.sparkContext._jvm
-    for table in tables:
-        for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            remove(spark, name)
-    jvm.System.gc()
+def settle(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of what is written by now; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def remove(spark: SparkSession, path: str) -> None:

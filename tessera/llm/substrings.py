@@ -104,6 +104,17 @@ def phrases(data: np.ndarray, length: int, trigger: int) -> tuple[np.ndarray, ..
     return grams[at].view(np.int64), own.view(np.int64), lo, hi - lo, at - lo
 
 
+#: Rows of a parse that a task hands over at once.
+ROWS_OUT = 50_000
+_NAMES = ["k", "c", "doc_id", "lo", "more", "off"]
+_KINDS = [np.int64, np.int64, np.int64, np.int32, np.int16, np.int16]
+
+
+def table_of(parts: list[tuple]) -> pa.RecordBatch:
+    columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    return pa.record_batch([pa.array(x.astype(t)) for x, t in zip(columns, _KINDS, strict=True)], names=_NAMES)
+
+
 PARSE = "k long, c long, doc_id long, lo int, more short, off short"
 
 
@@ -111,18 +122,20 @@ def parse(docs: DataFrame, length: int, trigger: int) -> DataFrame:
     """docs: doc_id (LAST for none), text. The parse: a row for each phrase of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["k", "c", "doc_id", "lo", "more", "off"]
         for batch in batches:
             parts: list[tuple] = []
+            held = 0
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
                 data = np.frombuffer(text.as_buffer() or b"", np.uint8)
                 for at, part in segments(data, length):
                     k, c, lo, more, off = phrases(part, length, trigger)
                     parts.append((k, c, np.full(len(k), doc), lo + at, more, off))
+                    held += len(k)
+                    if held >= ROWS_OUT:
+                        yield table_of(parts)
+                        parts, held = [], 0
             if parts:
-                columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-                kinds = [np.int64, np.int64, np.int64, np.int32, np.int16, np.int16]
-                yield pa.record_batch([pa.array(x.astype(t)) for x, t in zip(columns, kinds, strict=True)], names=names)
+                yield table_of(parts)
 
     return docs.mapInArrow(run, PARSE)
 
@@ -133,7 +146,6 @@ def finer(texts: DataFrame, entries: DataFrame, length: int, trigger: int, cell:
     reach = length - trigger
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["k", "c", "doc_id", "lo", "more", "off"]
         for batch in batches:
             parts = []
             for doc, text, listed in zip(batch["doc_id"].to_pylist(), batch["text"], batch["entries"], strict=True):
@@ -153,10 +165,11 @@ def finer(texts: DataFrame, entries: DataFrame, length: int, trigger: int, cell:
                     k = mixed(one.of(b + cell - 1, b + length) + place * np.uint64(0x9E6C63D0876A9A35) * np.uint64(cell > 1))
                     c = mixed(two.of(x, y + length) + np.uint64(0x632BE59BD9B4E019) * ((y - x) * 4096 + (x - b)).astype(np.uint64))
                     parts.append((k.view(np.int64), c.view(np.int64), np.full(len(x), doc), x + at, y - x, lo[which][here] + off[which][here] - x - at))
+                if len(parts) >= 500:
+                    yield table_of(parts)
+                    parts = []
             if parts:
-                columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-                kinds = [np.int64, np.int64, np.int64, np.int32, np.int16, np.int16]
-                yield pa.record_batch([pa.array(x.astype(t)) for x, t in zip(columns, kinds, strict=True)], names=names)
+                yield table_of(parts)
 
     total = entries.count()
     listed = entries.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "more", "off")).alias("entries"))
@@ -220,20 +233,23 @@ def removed(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, keep_
 
     counts = parse(texts, length, trigger).groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k")
     counts = common.save(counts)
+    common.settle(docs.sparkSession)
     rows = common.save(parse(texts, length, trigger).join(common.small(counts, BOUND), "k", "left_semi"))
+    common.settle(docs.sparkSession)
     whole, entries = resolved(rows, length)
     cells = common.save(finer(texts, common.save(entries), length, trigger, CELL))
     part, entries = resolved(cells, length)
     strings = common.save(finer(texts, common.save(entries), length, trigger, 1))
     last, _ = resolved(strings, length)
     runs = common.save(joined(whole.unionByName(part).unionByName(last)))
+    common.settle(docs.sparkSession)
     every = F.array(F.struct(F.lit(0).alias("a"), F.col("n").cast("int").alias("b")))
     runs = runs.unionByName(copies.select("doc_id", every.alias("runs"))).withColumnRenamed("doc_id", "id")
     size = runs.agg(F.sum(F.size("runs"))).first()[0] or 0
     out = own.join(F.broadcast(runs) if size <= BOUND else runs, "id", "left").select("doc_id", "text", "runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             n, gone, spans, digest, kept = [], [], [], [], []
             for text, runs in zip(batch["text"].to_pylist(), batch["runs"].to_pylist(), strict=True):
                 parts, at = [], 0
