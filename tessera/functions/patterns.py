@@ -95,7 +95,7 @@ ORDER = list(TYPES)
 #: A text in which none of these (compared in lower case) occurs holds no indicator of the type, so its pattern need not run.
 SIGNS = {
     "tgchan": ["t.me/"], "dsinvite": ["discord"], "url": ["://"], "email": ["@"], "regkey": ["hk"], "winpath": [":\\"], "cidr": ["/"], "ipv6": ["::", ":"],
-    "ipv4": ["."], "cve": ["cve-"], "bdu": ["bdu", "бду"], "attack": ["t0", "t1"], "asn": ["as"], "eth": ["0x"], "onion": [".onion"], "domain": ["."],
+    "ipv4": ["."], "cve": ["cve-"], "bdu": ["bdu", "бду"], "attack": ["att", "mitre", "techniq", "техник", "tactic", "тактик", "ttp"], "asn": ["as"], "eth": ["0x"], "onion": [".onion"], "domain": ["."],
 }
 TECHNIQUE_CONTEXT = r"(?i)att&?ck|mitre|techniq|техник|tactic|тактик|TTP"
 
