@@ -105,35 +105,54 @@ def sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, s array<long>")
 
 
-def keyed(nodes: DataFrame, depth: int) -> DataFrame:
-    """id, tree, key: a row for each order, whose key is the first `depth` hashes in that order."""
-    of = lambda t: F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), *[F.col("sig")[(t * DEPTH + i) % HASHES] for i in range(depth)]).alias("key"))
-    return nodes.select("id", F.inline(F.array(*map(of, range(ORDERS)))))
+def keyed(nodes: DataFrame, depth: int, above: int | None) -> DataFrame:
+    """id, tree, key, up: a row for each order, keyed by the first `depth` hashes in that order, and by the first `above`."""
+    twice = nodes.select("id", F.concat("sig", "sig").alias("sig"))
+    first = lambda t, d: F.xxhash64(F.lit(t), F.slice("sig", t * DEPTH + 1, d))
+    of = lambda t: F.struct(F.lit(t).alias("tree"), first(t, depth).alias("key"), first(t, above or 1).alias("up"))
+    return twice.select("id", F.inline(F.array(*map(of, range(ORDERS)))))
+
+
+def dealt(rows: DataFrame, heads: DataFrame, key: str) -> DataFrame:
+    """id, tree, key, part: a region's rows dealt into parts of about half of REGION, each of which holds the region's first member too.
+
+    heads: tree, key, first, c (how many rows the region has here).
+    """
+    parts = heads.withColumn("parts", F.ceil(F.col("c") / (REGION // 2))).select("tree", key, "first", "parts")
+    own = rows.join(common.small(parts), ["tree", key]).filter("id <> first").select("id", "tree", F.col(key).alias("key"), F.pmod(F.xxhash64("id", "tree"), F.col("parts")).alias("part"))
+    firsts = parts.select(F.col("first").alias("id"), "tree", F.col(key).alias("key"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return own.unionByName(firsts)
 
 
 def regions(nodes: DataFrame) -> DataFrame:
-    """id, depth, tree, key, part: the members of each region with at least two; a region that stays large at the last depth is dealt into
-    parts which all hold its first member too."""
-    found, inside = None, None
+    """id, depth, tree, key, part: the members of each region to compare.
+
+    A region of more than REGION documents is split at the next depth. Those that are alone there, and the first of each finer region, still have the
+    shorter prefix in common: they are compared at it, in parts that share the region's first member.
+    """
+    found, inside, above, dense = None, None, None, None
     for depth in DEPTHS:
-        rows = keyed(nodes, depth)
+        rows = keyed(nodes, depth, above)
         rows = rows if inside is None else rows.join(inside, ["id", "tree"], "left_semi")
-        counts = common.save(rows.groupBy("tree", "key").agg(F.count("*").alias("c"), F.min("id").alias("first")).filter("c > 1"))
-        last = depth == DEPTHS[-1]
-        fine, dense = counts.filter(F.col("c") <= REGION), counts.filter(F.col("c") > REGION)
-        named = lambda x, part: x.select("id", F.lit(depth).alias("depth"), "tree", "key", part.cast("long").alias("part"))  # noqa: E731, B023
-        own = named(rows.join(common.small(fine), ["tree", "key"]), F.lit(0))
-        found = own if found is None else found.unionByName(own)
-        if not dense.count():
+        counts = rows.groupBy("tree", "key", "up").agg(F.count("*").alias("c"), F.min("id").alias("first"))
+        counts = common.save(counts.filter("c > 1") if above is None else counts)
+        named = lambda x, d: x.select("id", F.lit(d).alias("depth"), "tree", "key", F.col("part").cast("long").alias("part"))
+        fine = counts.filter((F.col("c") > 1) & (F.col("c") <= REGION)).select("tree", "key")
+        own = [named(rows.join(common.small(fine), ["tree", "key"]).withColumn("part", F.lit(0)), depth)]
+        if above is not None:
+            heads = counts.select(F.col("first").alias("id"), "tree", "up")
+            total = heads.groupBy("tree", "up").agg(F.count("*").alias("c"))
+            total = common.save(total.join(dense.select("tree", F.col("key").alias("up"), "first"), ["tree", "up"]))
+            own.append(named(dealt(heads, total, "up"), -depth))
+        dense = counts.filter(F.col("c") > REGION)
+        more = dense.count() > 0
+        if more and depth == DEPTHS[-1]:
+            own.append(named(dealt(rows, dense, "key"), depth + 1))
+        for x in own:
+            found = x if found is None else found.unionByName(x)
+        if not more:
             break
-        if last:
-            parts = dense.withColumn("parts", F.ceil(F.col("c") / (REGION // 2)))
-            dealt = rows.join(common.small(parts), ["tree", "key"]).filter("id <> first")
-            found = found.unionByName(named(dealt, F.pmod(F.xxhash64("id"), F.col("parts"))))
-            heads = parts.select(F.col("first").alias("id"), "tree", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"))
-            found = found.unionByName(named(heads, F.col("p")))
-        else:
-            inside = common.save(rows.join(common.small(dense.select("tree", "key")), ["tree", "key"], "left_semi").select("id", "tree"))
+        inside, above = common.save(rows.join(common.small(dense.select("tree", "key")), ["tree", "key"], "left_semi").select("id", "tree")), depth
     return found
 
 
