@@ -57,7 +57,7 @@ class Model:
         known = often(vectors, WORDS)
         rate = lambda v, n, kinds: np.log((v + 0.1) / (n + 0.1 * kinds)).astype(np.float32)
         self.words = {w: i for i, w in enumerate(known)}
-        self.scores = np.array([rate(v, total, len(vectors) + 1) for v in known.values()], np.float32).reshape(-1, len(self.langs))
+        self.scores = np.array([rate(v, total, len(vectors) + 1) for v in known.values()], np.float32).reshape(len(known), len(self.langs))
         self.grams = []
         for table in grams:
             sums = sum(table.values(), np.zeros(len(self.langs)))
