@@ -41,8 +41,9 @@ def defang(c: C) -> Column:
 def defanged_values(c: C) -> Column:
     """The values that the author disarmed, as they read when armed; a chain of separators is one value."""
     sep = r"[\[({<]~s{0,4}(?:\.|dot|точка)~s{0,4}[\])}>]"
-    chain = rf"(?i)[A-Za-z0-9][A-Za-z0-9._-]*+(?:~s{{0,4}}{sep}~s{{0,4}}[A-Za-z0-9][A-Za-z0-9._-]*+)+"
-    return F.array_distinct(F.transform(F.regexp_extract_all(col(c), F.lit(P.java(chain)), F.lit(0)), lambda v: F.lower(refang(v))))
+    # A chain begins with its run of token characters, so each run is tried once.
+    chain = rf"(?i)(?<![A-Za-z0-9._-])[._-]*+([A-Za-z0-9][A-Za-z0-9._-]*+(?:~s{{0,4}}{sep}~s{{0,4}}[A-Za-z0-9][A-Za-z0-9._-]*+)+)"
+    return F.array_distinct(F.transform(F.regexp_extract_all(col(c), F.lit(P.java(chain)), F.lit(1)), lambda v: F.lower(refang(v))))
 
 
 def trim_tail(c: C) -> Column:

@@ -72,11 +72,25 @@ def file_name(name: str, marked: set[str]) -> bool:
     return ending in P.FILE_ENDINGS and ending not in P.DOMAIN_ENDINGS and name.lower() not in marked
 
 
-_CHAIN = r"(?i)[A-Za-z0-9][A-Za-z0-9._-]*+(?:~s{0,4}[\[({<]~s{0,4}(?:\.|dot|точка)~s{0,4}[\])}>]~s{0,4}[A-Za-z0-9][A-Za-z0-9._-]*+)+"
+# A chain begins with its run of token characters, so each run is tried once.
+_CHAIN = r"(?i)(?<![A-Za-z0-9._-])[._-]*+([A-Za-z0-9][A-Za-z0-9._-]*+(?:~s{0,4}[\[({<]~s{0,4}(?:\.|dot|точка)~s{0,4}[\])}>]~s{0,4}[A-Za-z0-9][A-Za-z0-9._-]*+)+)"
 
 
 def marked_values(text: str) -> set[str]:
-    return {refang(m.group()).lower() for m in compiled(_CHAIN).finditer(text)}
+    return {refang(m[1]).lower() for m in compiled(_CHAIN).finditer(text)}
+
+
+_RUN, _ENDING = re.compile("[A-Za-z0-9._-]+"), re.compile(r"\.(?:xn--[A-Za-z0-9-]{2,59}|[A-Za-z]{2,24})(?![A-Za-z0-9_])")
+
+
+def domains(text: str) -> Iterator[re.Match]:
+    """Matches of the domain pattern; runs of name characters without a zone's ending are passed over, for the pattern would try each label of them."""
+    pattern = compiled(P.TYPES["domain"])
+    for run in _RUN.finditer(text):
+        at = run.start()
+        while _ENDING.search(text, at, run.end()) and (m := pattern.search(text, at, run.end())):
+            yield m
+            at = m.end()
 
 
 def trimmed(value: str) -> str:
@@ -141,6 +155,11 @@ class Scan:
 
     def pass_of(self, kind: str) -> None:
         snapshot, at, pattern, counts = "".join(self.chars), 0, compiled(P.TYPES[kind]), {}
+        if kind == "domain":
+            for m in domains(snapshot):
+                if not file_name(m.group(), self.marked) and zone(m.group(), self.zones):
+                    self.claim(kind, m.group(), m.start(), len(m.group()))
+            return
         while m := pattern.search(snapshot, at):
             at, start, value, length = m.end(), m.start(), m.group(), len(m.group())
             if kind in ("url", "winpath", "regkey"):
@@ -158,8 +177,6 @@ class Scan:
                 value = re.sub(r"^T(\d{4})(?:[./](\d{3}))?.*", lambda x: f"T{x[1]}" + (f".{x[2]}" if x[2] else ""), value)
             elif kind == "bdu":
                 value = "BDU:" + re.search(r"\d{4}-\d{5}", value).group()
-            elif kind == "domain" and (file_name(value, self.marked) or not zone(value, self.zones)):
-                continue
             elif kind == "asn" and _AS_WORD.search("".join(self.chars[max(0, start - 20) : start + len(value) + 20])):
                 continue
             if value:

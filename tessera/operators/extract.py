@@ -59,6 +59,8 @@ def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text", types:
         gate = F.lit(True) if not signs else F.lit(False)
         for s in signs or []:
             gate = gate | F.contains("_low", F.lit(s))
+        if t == "domain":  # the pattern would try each label of a long run without a zone's ending
+            gate = F.col("_m").rlike(r"\.(?:xn--[A-Za-z0-9-]{2,59}|[A-Za-z]{2,24})(?![A-Za-z0-9_])")
         own = own.withColumn(f"_{t}", F.when(gate, _hits(t, F.col("_m"))).otherwise(empty))
         own = own.withColumn("_m", F.when(F.size(f"_{t}") > 0, F.regexp_replace("_m", F.lit(P.java(P.TYPES[t])), F.lit(NUL))).otherwise(F.col("_m")))
     if "domain" in names:
