@@ -1,4 +1,4 @@
 """Queries by family; importing this package registers them all."""
 
-from . import case_queries, extract_queries, policy_queries, text_queries  # noqa: F401
+from . import case_queries, extract_queries, policy_queries, source_queries, text_queries  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
