@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import attack, exports, graph, timeline
+from ..operators import attack, exports, timeline
 from ..sources import har
 from .registry import carrier, query, select, table
 

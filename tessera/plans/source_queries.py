@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import facts, lists, noise, timeline
+from ..operators import facts
 from ..sources import files, mail
 from ..streaming import run, state
 from .case_queries import PACK
 from .registry import carrier, query, select, table
-from .text_queries import MIXED
+
 
 MAILS = """
 c_custkey AS mail_id

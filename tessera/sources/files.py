@@ -62,4 +62,5 @@ def page_text(html: Column, links: bool = True) -> Column:
     text = F.regexp_replace(F.regexp_replace(kept, _BLOCK, "\n"), "<[^>]*>", "")
     for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         text = F.replace(text, F.lit(name), F.lit(sign))
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[ \t\x0B\f\r]+", " "), r" ?\n ?", "\n"), r"\n{3,}", "\n\n"))
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[ \t\x0B\f\r]+", " "), r" ?\n ?", "\n"), r"\n{3,}", "\n\n")
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
