@@ -22,7 +22,7 @@ def x1_x3_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.indicators(table(spark, sf_dir, "documents"), types=NATIVE).select("doc_id", "type", F.lower("value").alias("value"), "n")
 
 
-@query(f"SELECT type, lower(value) AS value, count(DISTINCT doc_id) AS documents, CAST(count(*) AS HUGEINT) AS n FROM ({_NATIVE}) GROUP BY ALL")
+@query(f"SELECT type, lower(value) AS value, count(DISTINCT doc_id) AS documents, count(*) AS n FROM ({_NATIVE}) GROUP BY ALL")
 def a9_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.prevalence(table(spark, sf_dir, "documents"), NATIVE)
 
@@ -33,7 +33,7 @@ concat('Report ', c_custkey, '. See hxxps://h', c_custkey, '[.]example[.]com/p?a
 """
 # DuckDB reads backslashes in strings as they are.
 _REPORT_SQL = """WITH r AS (SELECT c_custkey AS k FROM customer)
-    SELECT k AS doc_id, 'url' AS type, 'https://h' || k || '.example.com/p?a=1' AS value, 1 AS n FROM r
+    SELECT k AS doc_id, 'url' AS type, 'https://h' || k || '.example.com/p?a=1' AS value, 1::BIGINT AS n FROM r
     UNION ALL SELECT k, 'ipv4', '203.0.113.' || (k % 256), 1 FROM r UNION ALL SELECT k, 'email', 'u' || k || '@example.org', 1 FROM r
     UNION ALL SELECT k, 'cve', 'CVE-2021-' || (10000 + k), 1 FROM r WHERE k % 5 = 0 UNION ALL SELECT k, 'attack', 'T' || (1000 + k % 9000) || '.001', 1 FROM r WHERE k % 5 = 1
     UNION ALL SELECT k, 'domain', 'evil.example.net', 1 FROM r WHERE k % 5 = 2 UNION ALL SELECT k, 'cidr', '198.51.100.0/' || (k % 33), 1 FROM r WHERE k % 5 = 3
