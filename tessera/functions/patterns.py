@@ -1,7 +1,7 @@
 """Patterns and fixed word lists, in one notation for three regex engines.
 
 In a pattern, `\\b` is a boundary between ASCII word characters and others, `~s` the blanks of the source notation (all Unicode ones) inside a class
-or alone, and `~S` anything but them. java(), re2() and python() translate; case-insensitive patterns carry (?i) in front.
+or alone, and `~S` anything but them; `~<` and `~>` are boundaries whose inner side is a word character, which engines test faster. java(), re2() and python() translate; case-insensitive patterns carry (?i) in front.
 """
 
 from __future__ import annotations
@@ -30,16 +30,20 @@ def _blanks(p: str, inner: str) -> str:
     return "".join(out)
 
 
+def _edges(p: str) -> str:
+    return p.replace("~<", "(?<![A-Za-z0-9_])").replace("~>", "(?![A-Za-z0-9_])").replace(r"\b", _EDGE)
+
+
 def java(p: str) -> str:
-    return _blanks(p, _JAVA_BLANKS).replace(r"\b", _EDGE).replace("(?i)", "(?iu)")
+    return _edges(_blanks(p, _JAVA_BLANKS)).replace("(?i)", "(?iu)")
 
 
 def re2(p: str) -> str:
-    return _blanks(p, _JAVA_BLANKS)
+    return _blanks(p, _JAVA_BLANKS).replace("~<", r"\b").replace("~>", r"\b")
 
 
 def python(p: str) -> str:
-    return _blanks(p, _PYTHON_BLANKS).replace(r"\b", _EDGE)
+    return _edges(_blanks(p, _PYTHON_BLANKS))
 
 
 # How published indicators are disarmed, in the order in which the rules apply (pattern, replacement with $1).
@@ -75,20 +79,20 @@ TYPES = {
     "email": r"\b[A-Za-z0-9._%+\-]+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}\b",
     "regkey": r"(?i)\bHK(?:EY_)?(?:LM|CU|CR|U|CC|LOCAL_MACHINE|CURRENT_USER|CLASSES_ROOT|USERS|CURRENT_CONFIG)\\[^~s\x00\x22\x27<>|]+",
     "winpath": r"\b[A-Za-z]:\\(?:[^\\/:*?\x22<>|\r\n\x00]+\\)*[^\\/:*?\x22<>|\r\n~s\x00]+",
-    "cidr": rf"\b(?:{_OCTET}\.){{3}}{_OCTET}\/(?:3[0-2]|[12]?[0-9])\b",
+    "cidr": rf"~<(?:{_OCTET}\.){{3}}{_OCTET}\/(?:3[0-2]|[12]?[0-9])~>",
     "ipv6": r"\b(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\b|\b(?:[0-9A-Fa-f]{1,4}:){1,7}:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?\b",
-    "ipv4": rf"\b(?:{_OCTET}\.){{3}}{_OCTET}\b",
-    "sha512": r"\b[A-Fa-f0-9]{128}\b",
-    "sha256": r"\b[A-Fa-f0-9]{64}\b",
-    "sha1": r"\b[A-Fa-f0-9]{40}\b",
-    "md5": r"\b[A-Fa-f0-9]{32}\b",
-    "cve": r"(?i)\bCVE-[0-9]{4}-[0-9]{4,7}\b",
+    "ipv4": rf"~<(?:{_OCTET}\.){{3}}{_OCTET}~>",
+    "sha512": r"~<[A-Fa-f0-9]{128}~>",
+    "sha256": r"~<[A-Fa-f0-9]{64}~>",
+    "sha1": r"~<[A-Fa-f0-9]{40}~>",
+    "md5": r"~<[A-Fa-f0-9]{32}~>",
+    "cve": r"(?i)~<CVE-[0-9]{4}-[0-9]{4,7}~>",
     "bdu": r"(?i)(?:\bBDU|БДУ)~s*:~s*[0-9]{4}-[0-9]{5}\b",
     "attack": r"\bT[0-9]{4}(?:[./][0-9]{3}\/?)?\b",
-    "asn": r"\bAS[0-9]{1,10}\b",
-    "eth": r"\b0x[a-fA-F0-9]{40}\b",
-    "btc": r"\b(?:[13][a-km-zA-HJ-NP-Z1-9]{25,34}|bc1[ac-hj-np-z02-9]{11,71})\b",
-    "onion": r"(?i)\b(?:[a-z2-7]{56}|[a-z2-7]{16})\.onion\b",
+    "asn": r"~<AS[0-9]{1,10}~>",
+    "eth": r"~<0x[a-fA-F0-9]{40}~>",
+    "btc": r"~<(?:[13][a-km-zA-HJ-NP-Z1-9]{25,34}|bc1[ac-hj-np-z02-9]{11,71})~>",
+    "onion": r"(?i)~<(?:[a-z2-7]{56}|[a-z2-7]{16})\.onion~>",
     "domain": r"\b_?(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.)+(?:xn--[A-Za-z0-9\-]{2,59}|[A-Za-z]{2,24})\b",
 }
 ORDER = list(TYPES)

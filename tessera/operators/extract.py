@@ -51,7 +51,7 @@ def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text", types:
     """key, type, ord (priority), value, pos: a row for each occurrence, in the order of the types and of the text."""
     own = docs.select(F.col(key).alias("_key"), F.col(text).alias("_raw"), T.refang(F.coalesce(F.col(text), F.lit(""))).alias("_m"))
     own = own.withColumn("_marked", F.when(F.col("_raw").rlike(r"[\[({<]\s{0,4}(?:\.|(?i:dot)|точка)"), T.defanged_values("_raw")).otherwise(F.array().cast("array<string>")))
-    own = own.withColumn("_low", F.lower("_m"))
+    own = own.withColumn("_low", F.lower("_m")).withColumn("_hex", F.col("_m").rlike("[A-Fa-f0-9]{32}"))
     names = [t for t in P.ORDER if types is None or t in types]
     empty = F.array().cast("array<string>")
     for t in names:
@@ -59,6 +59,10 @@ def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text", types:
         gate = F.lit(True) if not signs else F.lit(False)
         for s in signs or []:
             gate = gate | F.contains("_low", F.lit(s))
+        if t in ("sha512", "sha256", "sha1", "md5"):
+            gate = F.col("_hex")
+        if t == "ipv4" or t == "cidr":
+            gate = F.col("_m").rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]")
         if t == "domain":  # the pattern would try each label of a long run without a zone's ending
             gate = F.col("_m").rlike(r"\.(?:xn--[A-Za-z0-9-]{2,59}|[A-Za-z]{2,24})(?![A-Za-z0-9_])")
         own = own.withColumn(f"_{t}", F.when(gate, _hits(t, F.col("_m"))).otherwise(empty))

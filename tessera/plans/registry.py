@@ -22,7 +22,10 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of texts whose files make fewer tasks than half the cores is dealt to all of them first."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in ("documents", "pages") and 2 * df.rdd.getNumPartitions() < cores else df
 
 
 def carrier(spark: SparkSession, sf_dir: str, source: str, columns: str) -> DataFrame:
