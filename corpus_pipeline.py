@@ -49,7 +49,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    from tessera.llm.queries import table
+
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = common.save(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

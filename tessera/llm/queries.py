@@ -11,7 +11,10 @@ from . import common, html, language, mixing, near, packing, personal, quality,
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one whose files make fewer tasks than there are cores is dealt to all of them first."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
