@@ -101,4 +101,4 @@ def with_context(docs: DataFrame, found: DataFrame, around: int = 60, key: str =
     at = F.instr(F.col("_text"), F.col("value"))
     cut = F.substring(F.col("_text"), F.greatest(F.lit(1), at - around), F.lit(around) + F.length("value") + F.least(F.lit(around), at - 1))
     text = docs.select(key, T.refang("text").alias("_text"))
-    return found.join(text, key).withColumn("context", F.when(at > 0, F.trim(F.regexp_replace(cut, P.java("~s+"), " ")))).drop("_text")
+    return found.join(text, key).withColumn("context", F.when(at > 0, F.trim(T.squeezed(cut)))).drop("_text")

@@ -40,12 +40,14 @@ def classified(found: DataFrame, source_host: Column | None = None) -> DataFrame
 
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, pos, line, of (how many lines its text has)."""
-    cut = F.split(F.coalesce("text", F.lit("")), "\r?\n", -1)
-    return docs.select("doc_id", F.size(cut).alias("of"), F.posexplode(cut).alias("pos", "line"))
+    # The array is a column of its own first; beside a generator its size would be taken from a new split for each line.
+    cut = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("_cut"))
+    rows = cut.select("doc_id", F.size("_cut").alias("of"), F.posexplode("_cut").alias("pos", "line"))
+    return rows.withColumn("line", F.when(F.col("line").endswith("\r"), F.regexp_replace("line", "\r\\z", "")).otherwise(F.col("line")))
 
 
 def normal(line: str = "line") -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, P.java("~s+"), " ")))
+    return F.lower(F.trim(T.squeezed(line)))
 
 
 def parts(docs: DataFrame) -> DataFrame:
@@ -58,10 +60,11 @@ def parts(docs: DataFrame) -> DataFrame:
     again = own.filter("key <> ''").filter(F.length("key") <= LINE).groupBy("doc_id", "key").agg(F.count("*").alias("n"), spread.alias("spread")).filter((F.col("n") >= TIMES) & (F.col("spread") >= SPREAD))
     few = again.groupBy("doc_id").agg(F.collect_set("key").alias("keys")).filter(F.size("keys") <= KINDS)
     from_ = F.floor(F.col("of") * TAIL)
-    heading = F.regexp_replace("key", "[:：]\\s*$", "").isin(P.REFERENCE_HEADINGS) & (F.col("pos") >= from_)
+    longest = max(map(len, P.REFERENCE_HEADINGS)) + 8
+    heading = (F.col("pos") >= from_) & (F.length("key") <= longest) & F.regexp_replace("key", "[:：]\\s*$", "").isin(P.REFERENCE_HEADINGS)
     refs = own.filter(heading).groupBy("doc_id").agg(F.min("pos").alias("refs"))
     before = F.coalesce(F.lag("line").over(Window.partitionBy("doc_id").orderBy("pos")), F.lit(""))
-    mail = F.col("line").rlike(P.java(r"[^~s@]+@[^~s@]+\.[A-Za-z]{2,}")) & (F.col("pos") >= from_)
+    mail = (F.col("pos") >= from_) & F.contains(F.col("line"), F.lit("@")) & F.col("line").rlike(P.java(r"[^~s@]+@[^~s@]+\.[A-Za-z]{2,}"))  # cheap tests first
     contact = mail & F.concat(before, F.lit(" "), F.col("line")).rlike(P.java(P.CONTACT_PHRASES))
     marked = own.withColumn("contact", contact).join(few, "doc_id", "left").join(refs, "doc_id", "left")
     part = F.when(F.array_contains("keys", F.col("key")), "furniture").when(F.col("contact"), "contact").when(F.col("pos") >= F.col("refs"), "refs")

@@ -73,3 +73,9 @@ def test_codecs(spark, c, raw, want):
 def test_nulls(spark):
     for c in (T.refang("v"), T.defang("v"), T.trim_tail("v"), T.ipv4_class("v"), T.zone("v"), T.hex_text("v"), T.tlp("v")):
         one(spark, c, None)
+
+
+def test_squeezed(spark):
+    text = "".join(f"a{chr(c)}{chr(c)}" for c in (9, 10, 13, 32, 0xA0, 0x1680, 0x2003, 0x2028, 0x202F, 0x205F, 0x3000, 0xFEFF, 0x200B, 0xE9))
+    assert one(spark, T.squeezed("v"), text) == "a a a a a a a a a a a a a​​a\xe9\xe9"
+    assert one(spark, T.squeezed("v"), "é \t\nb") == "é b"
