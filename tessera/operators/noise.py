@@ -43,7 +43,7 @@ def lines(docs: DataFrame) -> DataFrame:
     # The array is a column of its own first; beside a generator its size would be taken from a new split for each line.
     cut = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("_cut"))
     rows = cut.select("doc_id", F.size("_cut").alias("of"), F.posexplode("_cut").alias("pos", "line"))
-    return rows.withColumn("line", F.when(F.col("line").endswith("\r"), F.regexp_replace("line", "\r\\z", "")).otherwise(F.col("line")))
+    return rows.withColumn("line", F.when(F.col("line").endswith("\r") & (F.col("pos") < F.col("of") - 1), F.regexp_replace("line", "\r\\z", "")).otherwise(F.col("line")))
 
 
 def normal(line: str = "line") -> Column:

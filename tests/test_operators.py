@@ -89,6 +89,11 @@ def test_furniture_boundaries(spark):
     assert sorted((r["doc_id"], r["pos"]) for r in got) == [(1, 0), (1, 3), (1, 6)]
 
 
+def test_lines(spark):
+    got = rows(noise.lines(spark.createDataFrame([(1, "a\r\n\nb\r\r\nc\r"), (2, None)], "doc_id long, text string")))
+    assert [(r["doc_id"], r["pos"], r["line"], r["of"]) for r in got] == [(1, 0, "a", 4), (1, 1, "", 4), (1, 2, "b\r", 4), (1, 3, "c\r", 4), (2, 0, "", 1)]
+
+
 def test_graph_parents_and_cycles(spark):
     items = spark.createDataFrame([(1, k, t, v, None, "") for k, (t, v) in enumerate([("domain", "a.b.example.com"), ("domain", "example.com"), ("domain", "b.example.com"), ("domain", "com"), ("ipv4", "203.0.113.5"), ("cidr", "203.0.113.0/29"), ("cidr", "0.0.0.0/0")])], "case_id long, ord long, type string, value string, verdict string, source string")
     got = {(r["from"], r["to"]) for r in rows(graph.edges(items))}
