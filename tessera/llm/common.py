@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import gc
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,21 +27,15 @@ _SCRATCH: list[tuple[SparkSession, str]] = []
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors see; where that is unset, below a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", base) if _settable(spark) else None
-    path = f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir, which all executors see; where that is unset, below a temporary folder of this process."""
+    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or _own()).rstrip('/')}/tessera-{uuid.uuid4().hex}"
     _SCRATCH.append((spark, path))
     return path
 
 
-def _settable(spark: SparkSession) -> bool:
-    try:
-        return bool(spark.conf.isModifiable("spark.checkpoint.dir"))
-    except Exception:  # a session without that call
-        return False
+@lru_cache(maxsize=1)
+def _own() -> str:
+    return tempfile.mkdtemp(prefix="tessera-")
 
 
 def save(df: DataFrame, *partition: str) -> DataFrame:
@@ -66,8 +62,10 @@ def _clean() -> None:
     for spark, path in _SCRATCH:
         try:
             remove(spark, path)
-        except Exception:  # the session may be gone; the folder is scratch
-            return
+        except Exception:  # the session may be gone
+            break
+    if _own.cache_info().currsize:
+        shutil.rmtree(_own(), ignore_errors=True)
 
 
 def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
