@@ -3,10 +3,12 @@
 Method: a MinHash LSH forest. Signatures are sorted in several orders; documents whose longest common prefix in an order is at least DEPTH are
 neighbours. A region of an order with more than REGION documents is split at twice the depth, and again, so dense regions are compared at longer
 prefixes and sparse ones at short ones. In a region the signatures' best spanning forest and the doubtful pairs beside it are candidates, and each is
-confirmed on the full sets. Equal sets are one class from the start, so copies are never paired.
+confirmed on the full sets. In a second pass, every likely pair of a region whose ends are in different confirmed components is compared on the full
+sets, until all components that a link joins are one. Equal sets are one class from the start, so copies are never paired.
 
 Two documents at the threshold itself share a region in none of the orders with a chance of about 1e-5, less above it. In regions of up to SMALL
 documents every likely pair is a candidate; in larger ones links may be known by way of others only, which gives the same components.
+A pair is likely if its estimate is not below the threshold by more than SLACK.
 
 Defined results: null text, empty text and text without words have the empty set and stay alone; rows without an id have no component and are not kept;
 rows that repeat an id are one node; an empty table gives an empty table; other columns are not read.
@@ -34,6 +36,10 @@ SMALL = 8
 #: Below the threshold by so much, an estimate from HASHES hashes is off by over four deviations.
 SLACK = 0.2
 CERTAIN = 0.95
+#: Documents, and shingles of documents, in a block of the second pass; a task holds two blocks.
+BLOCK = 256
+BLOCK_SHINGLES = 1 << 19
+COLUMNS = 4096
 #: Words of which a task remembers the hash.
 CACHE = 300_000
 BASE = "doc_id long, n long, k1 long, k2 long, sig array<int>"
@@ -157,7 +163,7 @@ def regions(nodes: DataFrame) -> DataFrame:
 
 
 def pairs_of(ids: np.ndarray, n: np.ndarray, sig: np.ndarray, percent: int) -> list[tuple[int, int, int]]:
-    """(a, b, tier) of a region's candidates: tier 1 is the forest of the best estimates, tier 2 the pairs beside it that may matter."""
+    """(a, b, tier) of a region's first candidates: tier 1 is the forest of the best estimates, tier 2 doubtful pairs beside it; bridges() sees to the rest."""
     g = len(ids)
     likeness = (sig[:, None, :] == sig[None, :, :]).mean(-1)
     i, j = np.triu_indices(g, 1)
@@ -235,7 +241,121 @@ def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return shared.filter(100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).select("a", "b")
 
 
-def links(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+def of_groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[list[tuple]]:
+    """The rows of each group as tuples of Arrow scalars' values, without the key; the rows of a group lie together."""
+    held, rows = None, []
+    for batch in batches:
+        keys = zip(*(batch[k].to_pylist() for k in key), strict=True)
+        own = [c.to_numpy(zero_copy_only=False) for name, c in zip(batch.schema.names, batch.columns, strict=True) if name not in key]
+        for k, *row in zip(keys, *own, strict=True):
+            if k != held:
+                if rows:
+                    yield rows
+                held, rows = k, []
+            rows.append(tuple(row))
+    if rows:
+        yield rows
+
+
+def blocks(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """tree, key, x, y, id, component, n, sig: the regions that hold several components, their members dealt into pairs of blocks.
+
+    Every two members of different components are in one pair of blocks: the largest component's blocks meet all blocks of the others, and
+    those meet each other. Regions of up to SMALL have had all their likely pairs confirmed.
+    """
+    rows = keyed(nodes, DEPTH, None).select("id", "tree", "key").join(labels, "id")
+    by = rows.groupBy("tree", "key", "component").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    top = by.groupBy("tree", "key").agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.max(F.struct("c", "n", "component")).alias("most"), F.count("*").alias("kinds"))
+    top = top.filter((F.col("kinds") > 1) & (F.col("c") > SMALL) & (F.col("c") <= REGION))
+    parts = lambda c, n: F.ceil(F.greatest(c / BLOCK, n / BLOCK_SHINGLES)).cast("int")
+    one = (F.col("c") <= BLOCK) & (F.col("n") <= BLOCK_SHINGLES)
+    others = F.when(one, 1).otherwise(parts(F.col("c") - F.col("most.c"), F.col("n") - F.col("most.n")))
+    top = common.save(top.select("tree", "key", others.alias("o"), F.when(one, 0).otherwise(parts(F.col("most.c"), F.col("most.n"))).alias("l"), F.col("most.component").alias("most")))
+    own = rows.join(common.small(top), ["tree", "key"])
+    x = F.when((F.col("l") > 0) & (F.col("component") == F.col("most")), F.col("o") + F.expr("pmod(xxhash64(id), l)")).otherwise(F.expr("pmod(xxhash64(id), o)"))
+    own = own.withColumn("x", x.cast("int")).join(nodes.select("id", "sig"), "id")
+    met = F.explode(F.expr("case when o + l = 1 then array(0) when x < o then array_remove(sequence(0, o + l - 1), x) else sequence(0, o - 1) end"))
+    return own.withColumn("y", met).select("tree", "key", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "id", "component", "n", "sig")
+
+
+def likely(n: np.ndarray, component: np.ndarray, sig: np.ndarray, percent: int) -> np.ndarray:
+    """Which of a group's documents have a likely partner in another component."""
+    out = np.zeros(len(n), bool)
+    for at in range(0, len(n), 64):
+        own = slice(at, at + 64)
+        e = (sig[own, None, :] == sig[None, :, :]).mean(-1)
+        small, large = np.minimum(n[own, None], n[None, :]), np.maximum(n[own, None], n[None, :])
+        out[own] = ((e >= percent / 100 - SLACK) & (100 * small >= percent * large) & (component[own, None] != component[None, :])).any(1)
+    return out
+
+
+def linked(ids: list[int], component: list[int], found: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links on full sets that connect all of a group's components that any link connects."""
+    g, sizes = len(ids), np.array([len(s) for s in found])
+    _, at, counts = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+    often = counts > 1
+    keep = often[at]
+    who, column = np.repeat(np.arange(g), sizes)[keep], (np.cumsum(often) - 1)[at[keep]]
+    order = np.argsort(column, kind="stable")
+    who, column = who[order], column[order]
+    both = np.zeros((g, g))
+    for start in range(0, int(often.sum()), COLUMNS):
+        a, b = np.searchsorted(column, (start, start + COLUMNS))
+        m = np.zeros((g, min(COLUMNS, int(often.sum()) - start)), np.float32)
+        m[who[a:b], column[a:b] - start] = 1
+        both += m @ m.T
+    i, j = np.nonzero(np.triu(100 * both >= percent * (sizes[:, None] + sizes[None, :] - both), 1))
+    root = {c: c for c in component}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    out = []
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        a, b = find(component[x]), find(component[y])
+        if a != b:
+            root[a] = b
+            out.append((int(ids[x]), int(ids[y])))
+    return out
+
+
+def bridges(docs: DataFrame, nodes: DataFrame, found: DataFrame, full: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b: the links between the components found so far, from all likely pairs of each region."""
+    labels = common.save(nodes.join(found, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component")))
+    key = ["tree", "key", "x", "y"]
+    count = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in of_groups(batches, key):
+            ids, component, n, sig = (np.array(x) for x in zip(*rows, strict=True))
+            chosen = likely(n, component, np.stack(sig) if sig.ndim == 1 else sig, percent)
+            if chosen.any():
+                # Named by its members, so that the same group from several orders is confirmed once.
+                named = sorted(zip(ids[chosen].tolist(), component[chosen].tolist(), strict=True))
+                ids, component = zip(*named, strict=True)
+                g = xxhash.xxh3_64_intdigest(np.array(ids, np.int64).tobytes()) >> 1
+                yield pa.record_batch([pa.array([g] * len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array(component, pa.int64())], names=["g", "id", "component"])
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in of_groups(batches, ["g"]):
+            out = linked(*map(list, zip(*rows, strict=True)), percent)
+            if out:
+                a, b = zip(*out, strict=True)
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    chosen = blocks(nodes, labels).repartition(count, *key).sortWithinPartitions(*key).mapInArrow(choose, "g long, id long, component long")
+    chosen = common.save(chosen.distinct())
+    missing = common.save(chosen.select(F.col("id").alias("doc_id")).distinct().join(full.select(F.col("id").alias("doc_id")), "doc_id", "left_anti"))
+    if missing.count():
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(common.small(missing, 2_000_000), "doc_id", "left_semi")
+        full = full.unionByName(common.save(sets(texts, width)))
+    return chosen.join(full, "id").select("g", "id", "component", "s").repartition(count, "g").sortWithinPartitions("g").mapInArrow(confirm, "a long, b long")
+
+
+def links(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """a, b: confirmed pairs; id, s: the full sets of the documents that were compared for them."""
     pairs = common.save(candidates(nodes, percent))
     wanted = common.save(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(common.small(wanted, 2_000_000), "doc_id", "left_semi")
@@ -250,7 +370,7 @@ def links(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFr
     at = lambda name: label.select(F.col("id").alias(name), F.col("l").alias(f"l_{name}"))
     open_pairs = pairs.filter("tier = 2").join(at("a"), "a", "left").join(at("b"), "b", "left").filter("l_a is null or l_b is null or l_a <> l_b")
     more = confirmed(common.save(open_pairs.select("a", "b")), full, percent)
-    return sure.unionByName(more)
+    return sure.unionByName(more), full
 
 
 def groups(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
@@ -259,7 +379,12 @@ def groups(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
     some = base.filter("n > 0 and doc_id is not null")
     classes = common.save(some.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "sig")).alias("r")).select("k1", "k2", F.col("r.doc_id").alias("id"), F.col("r.n").alias("n"), F.col("r.sig").alias("sig")))
     nodes = classes.select("id", "n", "sig")
-    found = components(common.save(links(docs, nodes, width, percent)))
+    sure, full = links(docs, nodes, width, percent)
+    sure = common.save(sure)
+    found = common.save(components(sure))
+    more = common.save(bridges(docs, nodes, found, full, width, percent))
+    if more.count():
+        found = components(common.save(sure.unionByName(more)))
     named = common.save(classes.select("k1", "k2", "id").join(found, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component")))
     out = base.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -63,6 +63,44 @@ def test_a_large_region_keeps_its_links(spark):
     assert {x["component_id"] for x in got} == {0}
 
 
+def test_two_tight_families_meet_at_any_bridge(spark):
+    """Two families of close copies with few links between them: the forest of the estimates may choose a bridge that is none on full sets."""
+    data = []
+    for seed in (0, 1):
+        r = random.Random(seed)
+        base = [f"v{seed}_{i}" for i in range(600)]
+        for f in range(2):
+            for i in range(40):
+                edit = base[:]
+                if f:
+                    edit[100:138] = [f"f{seed}_{k}" for k in range(38)]
+                for k in r.sample(range(200, 600), 1 if i % 10 == 0 else 3):
+                    edit[k] = f"z{f}_{i}_{k}"
+                data.append((1000 * seed + 100 * f + i, " ".join(edit)))
+    got = {x["doc_id"]: x["component_id"] for x in rows(near.groups(spark.createDataFrame(data, "doc_id long, text string")))}
+    assert got == {k: c for k, (_, c) in brute(data, 3, 85).items()} == {k: k // 1000 * 1000 for k in got}
+
+
+def test_groups_are_linked_on_full_sets():
+    r = random.Random(3)
+    data = [(i, " ".join(f"w{r.randint(0, 3)}" if r.random() < 0.05 else f"b{k}" for k in range(80))) for i in range(60)]
+    hashes = near.WordHashes()
+    own = [near.shingles(t, 3, hashes) for _, t in data]
+    root = {}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for percent in (50, 60, 70, 85):
+        root = {d: d for d, _ in data}
+        for a, b in near.linked([d for d, _ in data], [d for d, _ in data], own, percent):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+        assert {d: find(d) for d in root} == {d: c for d, (_, c) in brute(data, 3, percent).items()}
+
+
 def test_odd_rows(spark):
     got = rows(near.groups(documents(spark)))
     assert len(got) == documents(spark).count()
