@@ -1,12 +1,13 @@
 """Groups near-duplicate documents by the shingles they share.
 
 Method: a MinHash LSH forest. Signatures are sorted in several orders; documents whose longest common prefix in an order is at least DEPTH are
-neighbours. A region of an order with more than REGION documents is split at twice the depth, and again, so dense regions are compared at longer
-prefixes and sparse ones at short ones. In a region the signatures' best spanning forest and the doubtful pairs beside it are candidates, and each is
-confirmed on the full sets. In a second pass, every likely pair of a region whose ends are in different confirmed components is compared on the full
+neighbours. For a first pass, a region of an order with more than REGION documents is split at twice the depth, and again, so dense regions are compared
+at longer prefixes and sparse ones at short ones. In such a region the signatures' best spanning forest and doubtful pairs beside it are candidates, each
+confirmed on the full sets. In a second pass, every likely pair of a region of any size, unsplit, whose ends are in different confirmed components is compared on the full
 sets, until all components that a link joins are one. Equal sets are one class from the start, so copies are never paired.
 
-Two documents at the threshold itself share a region in none of the orders with a chance of about 1e-5, less above it. In regions of up to SMALL
+Two documents at a threshold of 0.85 share a region in none of the orders with a chance of about 1e-5 (at 0.8, 2e-4), less above it. The second pass grows
+with the square of a dense region's documents that no link joins to its largest component, in tasks of two blocks. In regions of up to SMALL
 documents every likely pair is a candidate; in larger ones links may be known by way of others only, which gives the same components.
 A pair is likely if its estimate is not below the threshold by more than SLACK.
 
@@ -266,7 +267,7 @@ def blocks(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     rows = keyed(nodes, DEPTH, None).select("id", "tree", "key").join(labels, "id")
     by = rows.groupBy("tree", "key", "component").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
     top = by.groupBy("tree", "key").agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.max(F.struct("c", "n", "component")).alias("most"), F.count("*").alias("kinds"))
-    top = top.filter((F.col("kinds") > 1) & (F.col("c") > SMALL) & (F.col("c") <= REGION))
+    top = top.filter((F.col("kinds") > 1) & (F.col("c") > SMALL))
     parts = lambda c, n: F.ceil(F.greatest(c / BLOCK, n / BLOCK_SHINGLES)).cast("int")
     one = (F.col("c") <= BLOCK) & (F.col("n") <= BLOCK_SHINGLES)
     others = F.when(one, 1).otherwise(parts(F.col("c") - F.col("most.c"), F.col("n") - F.col("most.n")))

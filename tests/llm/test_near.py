@@ -101,6 +101,16 @@ def test_groups_are_linked_on_full_sets():
         assert {d: find(d) for d in root} == {d: c for d, (_, c) in brute(data, 3, percent).items()}
 
 
+def test_pairs_in_a_dense_region_meet(spark):
+    """All documents share a template at 0.8, and each is linked to one other alone."""
+    template, data = " ".join(f"t{i}" for i in range(200)), []
+    for i in range(300):
+        both = " ".join(f"p{i}_{k}" for k in range(8))
+        data += [(2 * i + f, f"{template} {both} " + " ".join(f"o{i}_{f}_{k}" for k in range(17))) for f in range(2)]
+    got = {x["doc_id"]: x["component_id"] for x in rows(near.groups(spark.createDataFrame(data, "doc_id long, text string")))}
+    assert got == {d: d - d % 2 for d, _ in data}
+
+
 def test_odd_rows(spark):
     got = rows(near.groups(documents(spark)))
     assert len(got) == documents(spark).count()
