@@ -3,7 +3,8 @@
 Method: a site style tree. The pages of a host are merged by the paths of their branches (containers with tag, id and class). A branch's
 presentation importance is the entropy of its child layouts over the host's pages, its content importance falls with the entropy of its
 texts' spread over them; branches of low importance, the same on page after page, are removed from each page. Elements that say what they are
-(nav, footer, adverts, comments, ...) go too. The text inside article or main is the page's; branches that hold most of a page's text stay.
+(nav, footer, adverts, comments, ...) go too. The text inside article or main is the page's and stays; branches that hold most of a page's text stay.
+Copies of a page on its host count once.
 
 Blocks are the texts between block elements; `br` is white space.
 
@@ -196,7 +197,7 @@ class Page:
                 for b in inside:
                     share[b] = share.get(b, 0) + len(t)
             low = {b for b, n in share.items() if self.branches[b].key in removed and 2 * n <= total}
-            blocks = [x for x in blocks if not low.intersection(x[1])]
+            blocks = [x for x in blocks if x[2] or not low.intersection(x[1])]
         return "\n".join(t for t, _, _ in blocks)
 
 
@@ -205,16 +206,23 @@ def host_of(url: F.Column) -> F.Column:
 
 
 def branches(pages: DataFrame) -> DataFrame:
-    """host, path, style, feature: a row for each branch of each page of a known host."""
+    """host, path, style, feature: a row for each branch of each distinct page of a known host; copies of a page are no repetition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hash64 = lambda parts: xxhash.xxh3_64_intdigest("\n".join(parts)) >> 1
         for batch in batches:
-            rows = [(host, b.key, hash64(b.children), hash64(b.texts)) for host, source in zip(batch["host"].to_pylist(), batch["html"], strict=True) for b in Page(source.as_py() or "").branches]
-            host, path, style, feature = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.record_batch([pa.array(host, pa.string()), *(pa.array(x, pa.int64()) for x in (path, style, feature))], names=["host", "path", "style", "feature"])
-
-    return pages.select(host_of(F.col("url")).alias("host"), "html").filter("host <> ''").mapInArrow(run, "host string, path long, style long, feature long")
+            found, one, two = [], [], []
+            for source in batch["html"]:
+                own = source.as_py() or ""
+                digest = xxhash.xxh3_128_intdigest(own.encode("utf-8", "surrogatepass"))
+                one.append(digest >> 65)
+                two.append(digest & (1 << 63) - 1)
+                found.append([{"path": b.key, "style": hash64(b.children), "feature": hash64(b.texts)} for b in Page(own).branches])
+            kind = pa.list_(pa.struct([(x, pa.int64()) for x in ("path", "style", "feature")]))
+            yield pa.record_batch([batch["host"], pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(found, kind)], names=["host", "d1", "d2", "b"])
+
+    each = pages.select(host_of(F.col("url")).alias("host"), "html").filter("host <> ''").mapInArrow(run, "host string, d1 long, d2 long, b array<struct<path: long, style: long, feature: long>>")
+    return each.dropDuplicates(["host", "d1", "d2"]).select("host", F.inline("b"))
 
 
 def importance(rows: DataFrame) -> DataFrame:

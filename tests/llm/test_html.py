@@ -40,6 +40,15 @@ def test_branches_that_repeat_on_a_host_go(spark):
     assert html.extract(pages).count() == 12 and all(r["n_chars"] == len(r["text"]) for r in got.values())
 
 
+def test_copies_of_a_page_are_no_repetition(spark):
+    source = "<body><div id='post-7'><div id='a7'><p>The first half of it</p></div><div id='b7'><p>The second half, longer than that</p></div></div></body>"
+    inside = "<article><div class='x'><p>short</p></div><p>Text number %d that is long enough</p></article>"
+    data = [(k, "http://h.example/a", source, "", "", "") for k in range(8)] + [(100 + k, f"http://g.example/{k}", inside % k, "", "", "") for k in range(8)]
+    got = {r["page_id"]: r["text"] for r in rows(html.extract(spark.createDataFrame(data, PAGES)))}
+    assert {got[k] for k in range(8)} == {"The first half of it\nThe second half, longer than that"}
+    assert all(got[100 + k] == f"short\nText number {k} that is long enough" for k in range(8))
+
+
 def test_importance_by_hand(spark):
     data = [("h", 1, s, f) for s, f in ((1, 1), (1, 1), (1, 2), (2, 3))] + [("h", 2, 1, 1)] * 4
     got = {r["path"]: r["importance"] for r in rows(html.importance(spark.createDataFrame(data, "host string, path long, style long, feature long")))}
