@@ -3,7 +3,8 @@
 Method: a site style tree. The pages of a host are merged by the paths of their branches (containers with tag, id and class). A branch's
 presentation importance is the entropy of its child layouts over the host's pages, its content importance falls with the entropy of its
 texts' spread over them; branches of low importance, the same on page after page, are removed from each page. Elements that say what they are
-(nav, footer, adverts, comments, ...) go too. The text inside article or main is the page's and stays; branches that hold most of a page's text stay.
+(nav, footer, adverts, comments, ...) go too, by name only if they
+hold at most half of the text; html, body and main never go by name. The text inside article or main is the page's and stays; branches that hold most of a page's text stay.
 Copies of a page on its host count once.
 
 Blocks are the texts between block elements; `br` is white space.
@@ -39,7 +40,9 @@ CONTAINER = frozenset("aside div dl figure footer form header menu nav ol sectio
 RAW = frozenset("script style noscript template iframe object svg canvas math title textarea select audio video noembed noframes xmp map".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 GONE = frozenset("nav footer aside form button dialog menu search label".split())
-#: Words of a class or id that name what isn't the article.
+#: Named elements inside each other that a block asks.
+NAMED = 8
+#: Classes and ids, or their first words, that name what isn't the article.
 WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice newsletter subscribe subscription sidebar menu navbar nav navigation "
     "breadcrumb breadcrumbs footer comment comments commentlist disqus respond reply replies share sharing social related recommended recommendations popup modal overlay widget widgets toolbar pagination pager masthead copyright "
@@ -62,18 +65,22 @@ class Branch:
 
 
 class Page:
-    """blocks: (text, branches it lies in, inside article or main, left out by name); branches in order of their start."""
+    """blocks: (text, branches it lies in, inside article or main, what it is left out by); branches in order of their start.
+
+    What leaves a block out is 0 for an element that says what it is (tag, role, hidden), and a number of its own for each element with a telling name.
+    """
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, tuple[int, ...], bool, bool]] = []
+        self.blocks: list[tuple[str, tuple[int, ...], bool, tuple[int, ...]]] = []
         self.branches: list[Branch] = []
         self.rooted = False
         self._text: list[str] = []
+        self._names = 0
         self._read(source)
 
     def _read(self, source: str) -> None:
-        # An open element: tag, whether it is left out, the branches it lies in, inside article or main, its path.
-        stack: list[tuple[str, bool, tuple[int, ...], bool, str]] = [("", False, (), False, "")]
+        # An open element: tag, what it is left out by, the branches it lies in, inside article or main, its path.
+        stack: list[tuple[str, tuple[int, ...], tuple[int, ...], bool, str]] = [("", (), (), False, "")]
         at, match = 0, _TAG.search
         while at < len(source):
             m = match(source, at)
@@ -120,11 +127,12 @@ class Page:
                 self._flush(stack[-1])
             return
         if tag not in BLOCK:
-            if tag == "button" or tag == "label" or (rest and self._named(rest)[2]):
+            told, named = self._named(rest)[2:] if rest else (False, False)
+            if tag == "button" or tag == "label" or told or named:
                 self._flush(stack[-1])
-                stack.append((tag, True, *stack[-1][2:]))
+                stack.append((tag, self._out(stack[-1][1], tag == "button" or tag == "label" or told, named), *stack[-1][2:]))
             elif tag == "head":
-                stack.append((tag, True, *stack[-1][2:]))
+                stack.append((tag, (0,), *stack[-1][2:]))
             return
         self._flush(stack[-1])
         if tag == "body":
@@ -140,11 +148,13 @@ class Page:
                 if stack[k][0] in CONTAINER or stack[k][0] in ("article", "main", "body"):
                     break
         _, out, inside, root, path = stack[-1]
-        names, role, odd = self._named(rest) if rest.strip() else ("", "", False)
-        if tag in ("article", "main") and not odd:
-            out, root, self.rooted = False, True, True
+        names, _, told, named = self._named(rest) if rest.strip() else ("", "", False, False)
+        if tag in ("html", "body"):
+            pass
+        elif (tag == "main" and not told) or (tag == "article" and not told and not named):
+            out, root, self.rooted = (), True, True
         else:
-            out = out or odd or tag in GONE or (tag == "header" and not root)
+            out = self._out(out, told or tag in GONE or (tag == "header" and not root), named)
         path = f"{path}/{tag}{names}"
         if tag in CONTAINER:
             if inside:
@@ -155,6 +165,15 @@ class Page:
             self.branches[inside[-1]].children.append(tag)
         stack.append((tag, out, inside, root, path))
 
+    def _out(self, out: tuple[int, ...], told: bool, named: bool) -> tuple[int, ...]:
+        if told or 0 in out:
+            return (0,)
+        if not named:
+            return out
+        self._names += 1
+        # Of a long chain of named elements only the outermost are asked.
+        return (*out, self._names) if len(out) < NAMED else out
+
     def _close_p(self, stack: list) -> None:
         for k in range(len(stack) - 1, max(0, len(stack) - 4), -1):
             if stack[k][0] == "p":
@@ -178,18 +197,24 @@ class Page:
                 return
 
     @staticmethod
-    def _named(rest: str) -> tuple[str, str, bool]:
-        """The id and class as part of a path, the role, and whether they say that the element isn't the article's."""
+    def _named(rest: str) -> tuple[str, str, bool, bool]:
+        """The id and class as part of a path, the role, whether the element says that it isn't the article's, and whether its id or class names such a thing."""
         a = {k.lower(): v or w or x or "" for k, v, w, x in _ATTRIBUTE.findall(rest)}
         named = f"{a.get('id', '')} {a.get('class', '')}".lower()
-        words = set(_PARTS.split(named))
+        words = {_PARTS.split(x, maxsplit=1)[0] for x in named.split()}
         role = a.get("role", "").lower()
         hidden = "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
         label = "." + ".".join(sorted(named.split())) if named.strip() else ""
-        return label, role, bool(words & WORDS) or role in ROLES or hidden
+        return label, role, role in ROLES or hidden, bool(words & WORDS)
 
     def text(self, removed: set[int] | None = None) -> str:
-        blocks = [b[:3] for b in self.blocks if not b[3] and (b[2] or not self.rooted)]
+        own = [b for b in self.blocks if 0 not in b[3] and (b[2] or not self.rooted)]
+        held: dict[int, int] = {}
+        for t, _, _, names in own:
+            for k in names:
+                held[k] = held.get(k, 0) + len(t)
+        most = sum(len(b[0]) for b in own)
+        blocks = [b[:3] for b in own if all(2 * held[k] > most for k in b[3])]
         if removed:
             total = sum(len(t) for t, _, _ in blocks)
             share: dict[int, int] = {}

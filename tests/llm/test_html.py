@@ -19,6 +19,14 @@ def test_what_is_not_the_article_goes():
     assert text(f"<body><header>no</header><div>no</div><main><p>yes</p>{inside}<header><h2>head</h2></header></main><div id='footer'>no</div>") == "yes\nhead"
 
 
+def test_a_name_does_not_take_the_page():
+    for page in (
+        "<article class='post category-social'><p>yes</p></article>", "<article class='post has-comments'><p>yes</p></article>", "<body class='has-sidebar'><p>yes</p></body>", "<body class='menu'><p>yes</p></body>",
+        "<div class='content-with-sidebar'><p>yes</p></div>", "<html class='nav-open'><body><p>yes</p></body></html>", "<main class='search'><p>yes</p></main>", "<article class='promo'><p>yes</p></article>", "<div id='comments'><p>yes</p></div><div class='ad'>no</div>",
+    ):
+        assert text(page) == "yes"
+
+
 def test_broken_pages():
     assert text("") == text("   ") == text("<!-- never ends") == ""
     assert text("<p>cut off <b>here") == "cut off here"
