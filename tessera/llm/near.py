@@ -393,9 +393,21 @@ def groups(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay, one of each group, unchanged; rows without an id stay, of rows that repeat an id one stays."""
-    found = common.save(groups(docs, width, percent))
-    gone = common.save(found.filter("not kept and doc_id is not null").select("doc_id").distinct())
-    out = docs.select(*common.DOCUMENT).join(common.small(gone, 2_000_000), "doc_id", "left_anti")
-    again = found.filter("kept").groupBy("doc_id").count().filter("count > 1").count()
-    return out.dropDuplicates(["doc_id"]) if again else out
+    """The documents that stay, one of each group, unchanged; rows without an id stay; rows that share an id are told apart by their texts."""
+    ids = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id", F.lit(True).alias("_again"))
+    again = common.save(ids)
+    own = docs.select(*common.DOCUMENT)
+    if not again.count():
+        return own.join(_gone(own, width, percent), "doc_id", "left_anti")
+    # Other ids are below these, so of a group a row with an id of its own stays first.
+    node = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    own = own.join(common.small(again, 2_000_000), "doc_id", "left").withColumn("_node", F.when(F.col("_again"), node).otherwise(F.col("doc_id").cast("long")))
+    gone = _gone(own.select(F.col("_node").alias("doc_id"), "text"), width, percent)
+    out = own.join(gone.withColumnRenamed("doc_id", "_node"), "_node", "left_anti")
+    once = out.filter("_again").dropDuplicates(["_node"])
+    return out.filter("_again is null").unionByName(once).select(*common.DOCUMENT)
+
+
+def _gone(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    found = groups(docs, width, percent)
+    return common.small(common.save(found.filter("not kept and doc_id is not null").select("doc_id").distinct()), 2_000_000)

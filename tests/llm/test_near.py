@@ -126,6 +126,14 @@ def test_deduplicated_keeps_one_of_each(spark):
     assert {r["doc_id"] for r in rows(near.deduplicated(docs))} == want
 
 
+def test_deduplicated_tells_rows_of_one_id_apart(spark):
+    one, two, three = (" ".join(f"{c}{k}" for k in range(40)) for c in "abc")
+    data = [(None, one), (None, two), (None, two), (7, one), (7, one), (7, two), (8, two), (9, three), (7, None), (7, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"] or 0, r["text"] or "") for r in rows(near.deduplicated(docs))))
+    assert got == sorted([(0, one), (0, two), (0, two), (7, one), (8, two), (9, three), (7, ""), (7, "")])
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(100)] + [(200, 201 + i) for i in range(50)] + [(300, 301), (301, 300)]
     got = {r["id"]: r["component"] for r in rows(components.components(spark.createDataFrame(links, "a long, b long")))}
