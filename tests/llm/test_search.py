@@ -61,13 +61,51 @@ def test_terms_are_probed_only_while_they_can_matter():
     shard = search.Shard(np.arange(8), x[:8].copy(), 5)
     for at in range(0, 4000, 500):
         shard.add(np.arange(at, at + 500), x[at : at + 500])
-    assert 0 < shard.probed < 0.2 * shard.traversed * 20
+    assert 0 < shard.probed and shard.traversed + shard.probed < 0.5 * x.size * 8
     for q, best in enumerate(shard.best):
         s = x @ x[q]
         s[q] = -np.inf
         assert [i for _, i in best] == np.argsort(-s, kind="stable")[:5].tolist()
 
 
+def test_a_given_threshold_spares_postings_of_like_terms():
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    x = r.normal(0, 1, (3000, 64))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1)[:, None])
+    s = x[:20] @ x.T
+    s[np.arange(20), np.arange(20)] = -np.inf
+    fifth = [int(v) for v in np.sort(s, 1)[:, -5]]
+    shard = search.Shard(np.arange(20), x[:20].copy(), 5, fifth)
+    shard.add(np.arange(3000), x)
+    assert shard.probed > 0 and shard.traversed + shard.probed < 0.55 * x.size * 20
+    assert all([i for _, i in b] == np.argsort(-s[q], kind="stable")[:5].tolist() for q, b in enumerate(shard.best))
+
+
+def test_postings_leave_zeros_out():
+    import numpy as np
+
+    x = np.zeros((100, 3))
+    x[7, 0], x[:, 1] = 5, 2
+    held = search.Postings(np.arange(100), x)
+    assert held.lists[0][0].tolist() == [7] and held.lists[1][0] is None and len(held.lists[2][0]) == 0
+
+
+def test_large_components_are_exact_and_scores_end_at_a_long(spark):
+    big = [(0, [1e10, 1.0]), (50, [1e18, -1e18]), (1, [1e10, 2.0]), (2, [1e18, 1e18]), (3, [0.5, 0.25]), (100, [1e300, 0.0]), (4, [-1e300, 1.0])]
+    top = (1 << 63) - 1
+    want = brute(big, 5, 50)
+    ends = lambda s: max(-top - 1, min(top, s))
+    data = spark.createDataFrame(big, "vec_id long, embedding array<double>")
+    got = answers(search.top(data))
+    assert sorted(got) == [0, 50, 100]
+    for q, listed in got.items():
+        pairs = [(i, s) for n, i, s in sorted(listed)]
+        every = sorted(((-ends(s), i) for _, i, s in brute(big, 7, 50)[q]))[:5]
+        assert pairs == [(i, -s) for s, i in every] and len(want[q]) == 5
+
+
 def test_fewer_than_k_and_empty(spark):
     data = floats([(0, [0.5, 1.0]), (1, [0.5, -1.0]), (50, [0.25, 0.0])])
     assert answers(search.top(table(spark, data))) == brute(data, 5, 50)
