@@ -36,6 +36,46 @@ def test_broken_pages():
     assert len(text("<article>" + "<p>w</p>" * 50_000)) == 99_999
 
 
+def test_articles_inside_what_is_left_out_stay_out():
+    assert text("<article><p>The story itself</p></article><section id='comments'><article>Reader says hi</article></section>") == "The story itself"
+    assert text("<article><p>Short</p></article><section id='comments'><article>Reader says hi at length, and says it again and again</article></section>") == "Short"
+    assert text("<main><p>The story itself</p><aside><article>Related card</article></aside></main>") == "The story itself"
+    assert text("<nav><article>menu</article></nav><p>text</p>") == "text"
+
+
+def test_names_that_only_hold_a_known_word():
+    assert text("<body class='right-sidebar'><p>all</p></body>") == text("<article class='post comments-open'><p>all</p></article>") == "all"
+    assert text("<p>one</p><table class='share-price-table'><tr><td>4.20</table><p>two</p><p>three is longer</p>") == "one\n4.20\ntwo\nthree is longer"
+    assert text("<p>one and more</p><div class='post-comments'>no</div><div class='shareButtons'>no</div><div class='ad-300x250'>no</div>") == "one and more"
+
+
+def test_text_outside_a_card_stays():
+    assert text("<p>" + "the page's own words " * 9 + "</p><article>card</article>").endswith("words\ncard")
+
+
+def test_inline_elements_leave_their_block_whole():
+    assert text("<p>Press the <label>blue</label> button <span class='ad'>buy now</span>to start <button>ok</button>again</p>") == "Press the blue button to start again"
+
+
+def test_deep_and_long_pages_take_time_in_proportion():
+    deep = "<div>" * 30_000 + "w" + "</div>" * 30_000
+    assert text(deep) == "w" and len(html.Page(deep).features()) == 30_000
+    assert text("<div>" * 20_000 + "w" + "</section>" * 20_000) == "w"
+
+
+def test_the_tree_decides_where_names_say_nothing(spark):
+    def page(k, host, box="A box of the same words on each page"):
+        story = f"<p>Text number {k} with some {k * 7} words of its own, and long enough to be the page</p>"
+        return (k, f"http://{host}/{k}", f"<body><article><div class='x9'><p>{box}</p></div>{story}<div class='q'><p>part {k} differs</p></div></article></body>", "h", "r", "t")
+
+    data = [page(k, "h.example") for k in range(8)] + [page(100 + k, "other.example") for k in range(3)] + [page(200 + k, "some.example", "twice" if k < 6 else f"own {k}") for k in range(20)]
+    got = {r["page_id"]: r["text"] for r in rows(html.extract(spark.createDataFrame(data, PAGES).repartition(3)))}
+    own = lambda k: f"Text number {k} with some {k * 7} words of its own, and long enough to be the page\npart {k} differs"
+    assert got[3] == own(3)
+    assert got[101] == "A box of the same words on each page\n" + own(101)  # too few pages to judge
+    assert got[203] == "twice\n" + own(203)  # six of twenty pages share it: no furniture of the host
+
+
 def test_branches_that_repeat_on_a_host_go(spark):
     def page(k, host="h.example"):
         return (k, f"http://{host}/{k}", f"<body><div class='top'><p>Same words on each page</p></div><div class='body'><p>Text number {k} with some {k * 7} words that are its own and long enough</p></div></body>", "h", "r", "t")
@@ -50,11 +90,15 @@ def test_branches_that_repeat_on_a_host_go(spark):
 
 def test_copies_of_a_page_are_no_repetition(spark):
     source = "<body><div id='post-7'><div id='a7'><p>The first half of it</p></div><div id='b7'><p>The second half, longer than that</p></div></div></body>"
-    inside = "<article><div class='x'><p>short</p></div><p>Text number %d that is long enough</p></article>"
-    data = [(k, "http://h.example/a", source, "", "", "") for k in range(8)] + [(100 + k, f"http://g.example/{k}", inside % k, "", "", "") for k in range(8)]
+    inside = "<article><div class='x'><p>%s</p></div><p>Text number %d that is long enough</p></article>"
+    data = [(k, "http://h.example/a", source, "", "", "") for k in range(8)]
+    # A box that most pages of a host repeat is furniture in an article too; one that fewer repeat stays.
+    data += [(100 + k, f"http://g.example/{k}", inside % ("short", k), "", "", "") for k in range(8)]
+    data += [(200 + k, f"http://f.example/{k}", inside % ("short" if k < 5 else f"own {k}", k), "", "", "") for k in range(12)]
     got = {r["page_id"]: r["text"] for r in rows(html.extract(spark.createDataFrame(data, PAGES)))}
     assert {got[k] for k in range(8)} == {"The first half of it\nThe second half, longer than that"}
-    assert all(got[100 + k] == f"short\nText number {k} that is long enough" for k in range(8))
+    assert all(got[100 + k] == f"Text number {k} that is long enough" for k in range(8))
+    assert all(got[200 + k] == f"{'short' if k < 5 else f'own {k}'}\nText number {k} that is long enough" for k in range(12))
 
 
 def test_importance_by_hand(spark):
