@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,15 +21,19 @@ DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 BUCKET_ROWS = 500
 #: Buckets that one window of offsets reads.
 FAN = 1000
-#: A broadcast side has at most so many rows of at most ROW_BYTES; beyond it the join is a shuffled one.
-BROADCAST_ROWS = 200_000
+#: A broadcast side has at most so many bytes, counted from its rows; beyond it the join is a shuffled one.
+BROADCAST_BYTES = 24 << 20
 
 _SCRATCH: list[tuple[SparkSession, str]] = []
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors see; where that is unset, below a temporary folder of this process."""
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or _own()).rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir, which all executors see. Where that is unset, a session on one machine gets a temporary folder; on a cluster
+    that would be another disk for each executor, so there it is an error."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    path = f"{(shared or _own()).rstrip('/')}/tessera-{uuid.uuid4().hex}"
     _SCRATCH.append((spark, path))
     return path
 
@@ -68,12 +73,20 @@ def _clean() -> None:
         shutil.rmtree(_own(), ignore_errors=True)
 
 
-def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A saved table with a broadcast hint if its counted rows are within the bound, else as it is: then the join shuffles.
+def size_of(table: DataFrame) -> int:
+    """The bytes of a saved table's rows: 16 for a row, 8 for a value, and what texts and lists hold (16 for each item of a list)."""
+    total = F.lit(16 + 8 * len(table.columns))
+    for name, kind in table.dtypes:
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(name), F.lit(0))
+        elif kind.startswith(("array", "map")):
+            total = total + 16 * F.greatest(F.coalesce(F.size(name), F.lit(0)), F.lit(0))
+    return table.agg(F.sum(total.cast("long"))).first()[0] or 0
 
-    The rows this is used for are narrow (a few numbers and a key), so the bound is about 20 MB.
-    """
-    return F.broadcast(table) if table.count() <= rows else table
+
+def small(table: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A saved table with a broadcast hint if its counted bytes are within the bound, else as it is: then the join shuffles."""
+    return F.broadcast(table) if size_of(table) <= most else table
 
 
 def buckets(rows: int) -> int:

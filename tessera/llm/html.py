@@ -359,8 +359,7 @@ def extract(pages: DataFrame) -> DataFrame:
     read = common.save(parsed(pages))
     judged = common.save(verdicts(branches(read)))
     judged = judged.select(F.col("host").alias("_host"), "judged")
-    paths = judged.agg(F.sum(F.size("judged"))).first()[0] or 0
-    judged = F.broadcast(judged) if paths <= common.BROADCAST_ROWS else judged
+    judged = common.small(judged)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

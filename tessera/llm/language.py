@@ -3,8 +3,9 @@
 Method: word-first backoff. A known word scores its log frequency in each language; an unseen one scores the longest character n-grams of it that are
 known, from five letters down to one.
 
-Learned from labelled rows outside the held-out third, on a sample of at most SAMPLE documents chosen by the hash of the id (a documented
-bound; all rows where there are fewer). Every text is scored whole.
+Learned from labelled rows outside the held-out third, on a sample of about SAMPLE documents of each language at most, chosen by the hash of the id
+(a documented bound; all rows where there are fewer), so a rare language is learned from as many documents as a frequent one. All words of the sample and all
+n-grams of them are in the model. Every text is scored whole. Letters are the code points of the Unicode categories L.
 
 Defined results: null text and text without letters are `und` with score 0, as is every text where nothing was learned; a null id is never held
 out and never learned from; repeated rows each get a row; an empty table gives an empty table; other columns are not read.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import sys
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -24,15 +26,15 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE = 8000
-#: Words and n-grams that the model keeps, the most frequent first.
-WORDS = 150_000
-GRAMS = 60_000
+#: Documents of a language that it is learned from.
+SAMPLE = 1500
 ORDERS = (5, 4, 3, 2, 1)
 #: Unseen words whose scores a task keeps for when they come again.
 CACHE = 100_000
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: What Python counts as a word's character by its numeric value, though it is no letter: fractions, circled and Roman numerals and the like.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 _AT_ONCE = 200_000
 
 
@@ -53,15 +55,13 @@ class Model:
             for table, order in zip(grams, ORDERS, strict=True):
                 for g in split(word, order):
                     table[g] += v
-        often = lambda table, most: dict(sorted(table.items(), key=lambda x: (-x[1].sum(), x[0]))[:most])
-        known = often(vectors, WORDS)
         rate = lambda v, n, kinds: np.log((v + 0.1) / (n + 0.1 * kinds)).astype(np.float32)
-        self.words = {w: i for i, w in enumerate(known)}
-        self.scores = np.array([rate(v, total, len(vectors) + 1) for v in known.values()], np.float32).reshape(len(known), len(self.langs))
+        self.words = {w: i for i, w in enumerate(vectors)}
+        self.scores = rate(np.array([*vectors.values()]).reshape(len(vectors), len(self.langs)), total, len(vectors) + 1)
         self.grams = []
         for table in grams:
             sums = sum(table.values(), np.zeros(len(self.langs)))
-            self.grams.append({g: rate(v, sums, len(table) + 1) for g, v in often(table, GRAMS).items()})
+            self.grams.append({g: rate(v, sums, len(table) + 1) for g, v in table.items()})
 
     def unseen(self, word: str) -> np.ndarray:
         for table, order in zip(self.grams, ORDERS, strict=True):
@@ -114,13 +114,12 @@ def held_out() -> F.Column:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     own = docs.select("doc_id", "text", "lang").filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    n = own.select("doc_id").count()
-    if n > sample:
-        own = own.filter(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
+    sizes = common.small(common.save(own.groupBy("lang").agg(F.count("*").alias("_n"))))
+    own = own.join(sizes, "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) < F.lit(float(sample)) / F.col("_n") * (1 << 30))
     words = own.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0))).alias("word"))
     rows = words.groupBy("lang", "word").count()
-    kept = rows.groupBy("word").agg(F.sum("count").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by"))
-    counts = {r["word"]: r["by"] for r in kept.orderBy(F.desc("n"), "word").limit(WORDS).collect()}
+    kept = rows.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by"))
+    counts = {r["word"]: r["by"] for r in kept.orderBy("word").toLocalIterator()}
     return Model(counts)
 
 

@@ -11,6 +11,7 @@ the mix that every shard's draw needs, MAX_SOURCES at most (8 MB); more raise an
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,8 +30,8 @@ BLOCK = 64
 SHARD = 4096
 SEED = 20240501
 MAX_SOURCES = 1_000_000
-#: Up to so many slots a draw is hypergeometric (numpy's bound is 10 ** 9); larger nodes split in proportion.
-DRAWN = 400_000_000
+#: numpy draws from urns of fewer slots; larger urns are drawn from by `urn`, with the same distribution.
+DRAWN = 10**9
 
 
 def permuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -53,6 +54,49 @@ def permuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _step(x: float, d: float) -> float:
+    """log((x + d)! / x!), to the precision of d, not of x, by Stirling's series."""
+    if min(x, x + d) < 50:
+        return math.lgamma(x + d + 1) - math.lgamma(x + 1)
+    return (x + 0.5) * math.log1p(d / x) + d * math.log(x + d) - d + (1 / (x + d) - 1 / x) / 12
+
+
+def urn(good: int, bad: int, n: int, rng: np.random.Generator) -> int:
+    """How many of n draws without replacement are good: a hypergeometric draw for urns of any size, by ratio of uniforms over the mode."""
+    all_of = good + bad
+    if not good or not n:
+        return 0
+    if not bad or n == all_of:
+        return min(good, n)
+    if 2 * n > all_of:
+        return good - urn(good, bad, all_of - n, rng)
+    share = good / all_of
+    mode = (n + 1) * (good + 1) // (all_of + 2)
+    low, high = max(0, n - bad), min(n, good)
+    spread = math.sqrt(n * share * (1 - share) * (all_of - n) / max(1, all_of - 1) + 0.5)
+    # The table mountain hat of a log-concave distribution with this spread: Stadlober's constants 2 sqrt(2 / e) and 3 - 2 sqrt(3 / e).
+    middle, width = n * share + 0.5, 2 * math.sqrt(2 / math.e) * spread + 3 - 2 * math.sqrt(3 / math.e)
+    while True:
+        u, v = 1 - rng.random(), rng.random()
+        k = math.floor(middle + width * (v - 0.5) / u)
+        if low <= k <= high:
+            d = k - mode
+            if 2 * math.log(u) <= -(_step(mode, d) + _step(good - mode, -d) + _step(n - mode, -d) + _step(bad - n + mode, d)):
+                return k
+
+
+def drawn_from(have: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """n draws without replacement from an urn with have[i] slots of the i-th source."""
+    total = int(have.sum())
+    if total < DRAWN:
+        return rng.multivariate_hypergeometric(have, n, method="marginals")
+    out = np.zeros(len(have), np.int64)
+    for i, own in enumerate(have.tolist()):
+        out[i] = urn(own, total - own, n, rng)
+        total, n = total - own, n - int(out[i])
+    return out
+
+
 def drawn(totals: np.ndarray, shards: int, shard: int, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """This shard's slots by source, and how many of each source lie in earlier shards.
 
@@ -66,13 +110,8 @@ def drawn(totals: np.ndarray, shards: int, shard: int, size: int, seed: int) ->
         n, left = int(have.sum()), (mid - lo) * size
         if left >= n:
             part = have.copy()
-        elif n > DRAWN:
-            exact = have * (left / n)
-            part = np.floor(exact).astype(np.int64)
-            more = np.argsort(part - exact, kind="stable")[: left - int(part.sum())]
-            part[more] += 1
         else:
-            part = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(have, left, method="marginals")
+            part = drawn_from(have, left, np.random.default_rng([seed, lo, hi]))
         if shard < mid:
             hi, have = mid, part
         else:

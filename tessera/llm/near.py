@@ -1,15 +1,14 @@
 """Groups near-duplicate documents by the shingles they share.
 
-Method: a MinHash LSH forest. Signatures are sorted in several orders; documents whose longest common prefix in an order is at least DEPTH are
-neighbours. For a first pass, a region of an order with more than REGION documents is split at twice the depth, and again, so dense regions are compared
-at longer prefixes and sparse ones at short ones. In such a region the signatures' best spanning forest and doubtful pairs beside it are candidates, each
-confirmed on the full sets. In a second pass, every likely pair of a region of any size, unsplit, whose ends are in different confirmed components is compared on the full
-sets, until all components that a link joins are one. Equal sets are one class from the start, so copies are never paired.
+Method: a MinHash LSH forest. The signatures are sorted in several orders, each of which starts at other hashes. Neighbours in an order whose longest common
+prefix is at least DEPTH are candidates; as the order puts those with the longest prefixes side by side, dense regions are linked at great depths
+and sparse ones at DEPTH. Likely neighbours are confirmed on the full sets, those of the first orders first, and join into components. Then
+nothing may be left out: a region is all documents with DEPTH hashes in common at the start of an order, of any size, and every likely pair in it whose
+ends are in different components is compared on the full sets, in tasks of two blocks, until all components that a link joins are one.
+Equal sets are one class from the start, so copies are never paired.
 
-Two documents at a threshold of 0.85 share a region in none of the orders with a chance of about 1e-5 (at 0.8, 2e-4), less above it. The second pass grows
-with the square of a dense region's documents that no link joins to its largest component, in tasks of two blocks. In regions of up to SMALL
-documents every likely pair is a candidate; in larger ones links may be known by way of others only, which gives the same components.
-A pair is likely if its estimate is not below the threshold by more than SLACK.
+Two documents at a threshold of 0.85 share a region in none of the orders with a chance of about 1e-5 (at 0.8, 2e-4), less above it. The work in a region
+grows with the square of the documents that no link joins to its largest component. A pair is likely if its estimate is not below the threshold by more than SLACK.
 
 Defined results: null text, empty text and text without words have the empty set and stay alone; rows without an id have no component and are not kept;
 rows that repeat an id are one node; an empty table gives an empty table; other columns are not read.
@@ -31,12 +30,12 @@ from .components import components
 HASHES = 64
 ORDERS = 12
 DEPTH = 3
-DEPTHS = (3, 6, 12, 24, 48)
-REGION = 96
-SMALL = 8
+#: Hashes by which an order is sorted.
+SORTED = 16
+#: Neighbours of the first orders are confirmed before those of the others, of which most are then in one component already.
+FIRST = 3
 #: Below the threshold by so much, an estimate from HASHES hashes is off by over four deviations.
 SLACK = 0.2
-CERTAIN = 0.95
 #: Documents, and shingles of documents, in a block of the second pass; a task holds two blocks.
 BLOCK = 256
 BLOCK_SHINGLES = 1 << 19
@@ -112,126 +111,54 @@ def sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, s array<long>")
 
 
-def keyed(nodes: DataFrame, depth: int, above: int | None) -> DataFrame:
-    """id, tree, key, up: a row for each order, keyed by the first `depth` hashes in that order, and by the first `above`."""
-    twice = nodes.select("id", F.concat("sig", "sig").alias("sig"))
-    first = lambda t, d: F.xxhash64(F.lit(t), F.slice("sig", t * DEPTH + 1, d))
-    of = lambda t: F.struct(F.lit(t).alias("tree"), first(t, depth).alias("key"), first(t, above or 1).alias("up"))
-    return twice.select("id", F.inline(F.array(*map(of, range(ORDERS)))))
+def keyed(nodes: DataFrame) -> DataFrame:
+    """id, n, tree, key: a row for each order, keyed by the first DEPTH hashes in that order."""
+    twice = nodes.select("id", "n", F.concat("sig", "sig").alias("sig"))
+    of = lambda t: F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.slice("sig", t * DEPTH + 1, DEPTH)).alias("key"))
+    return twice.select("id", "n", F.inline(F.array(*map(of, range(ORDERS)))))
 
 
-def dealt(rows: DataFrame, heads: DataFrame, key: str) -> DataFrame:
-    """id, tree, key, part: a region's rows dealt into parts of about half of REGION, each of which holds the region's first member too.
+def neighbours(nodes: DataFrame) -> DataFrame:
+    """a, b, tree: neighbours in the sorted orders with a common prefix of DEPTH hashes at least, each pair once, under its first order.
 
-    heads: tree, key, first, c (how many rows the region has here).
+    Ranges are cut between any two rows, so a dense region is spread over tasks; the two rows beside a cut don't meet here.
     """
-    parts = heads.withColumn("parts", F.ceil(F.col("c") / (REGION // 2))).select("tree", key, "first", "parts")
-    own = rows.join(common.small(parts), ["tree", key]).filter("id <> first").select("id", "tree", F.col(key).alias("key"), F.pmod(F.xxhash64("id", "tree"), F.col("parts")).alias("part"))
-    firsts = parts.select(F.col("first").alias("id"), "tree", F.col(key).alias("key"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return own.unionByName(firsts)
-
-
-def regions(nodes: DataFrame) -> DataFrame:
-    """id, depth, tree, key, part: the members of each region to compare.
-
-    A region of more than REGION documents is split at the next depth. Those that are alone there, and the first of each finer region, still have the
-    shorter prefix in common: they are compared at it, in parts that share the region's first member.
-    """
-    found, inside, above, dense = None, None, None, None
-    for depth in DEPTHS:
-        rows = keyed(nodes, depth, above)
-        rows = rows if inside is None else rows.join(inside, ["id", "tree"], "left_semi")
-        counts = rows.groupBy("tree", "key", "up").agg(F.count("*").alias("c"), F.min("id").alias("first"))
-        counts = common.save(counts.filter("c > 1") if above is None else counts)
-        named = lambda x, d: x.select("id", F.lit(d).alias("depth"), "tree", "key", F.col("part").cast("long").alias("part"))
-        fine = counts.filter((F.col("c") > 1) & (F.col("c") <= REGION)).select("tree", "key")
-        own = [named(rows.join(common.small(fine), ["tree", "key"]).withColumn("part", F.lit(0)), depth)]
-        if above is not None:
-            heads = counts.select(F.col("first").alias("id"), "tree", "up")
-            total = heads.groupBy("tree", "up").agg(F.count("*").alias("c"))
-            total = common.save(total.join(dense.select("tree", F.col("key").alias("up"), "first"), ["tree", "up"]))
-            own.append(named(dealt(heads, total, "up"), -depth))
-        dense = counts.filter(F.col("c") > REGION)
-        more = dense.count() > 0
-        if more and depth == DEPTHS[-1]:
-            own.append(named(dealt(rows, dense, "key"), depth + 1))
-        for x in own:
-            found = x if found is None else found.unionByName(x)
-        if not more:
-            break
-        inside, above = common.save(rows.join(common.small(dense.select("tree", "key")), ["tree", "key"], "left_semi").select("id", "tree")), depth
-    return found
-
-
-def pairs_of(ids: np.ndarray, n: np.ndarray, sig: np.ndarray, percent: int) -> list[tuple[int, int, int]]:
-    """(a, b, tier) of a region's first candidates: tier 1 is the forest of the best estimates, tier 2 doubtful pairs beside it; bridges() sees to the rest."""
-    g = len(ids)
-    likeness = (sig[:, None, :] == sig[None, :, :]).mean(-1)
-    i, j = np.triu_indices(g, 1)
-    e, small, large = likeness[i, j], np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-    good = (e >= percent / 100 - SLACK) & (100 * small >= percent * large) & (ids[i] != ids[j])
-    i, j, e = i[good], j[good], e[good]
-    order = np.argsort(-e, kind="stable")
-    root, best, beside, out = list(range(g)), [-1.0] * g, [0] * g, []
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    for x, y, s in zip(i[order].tolist(), j[order].tolist(), e[order].tolist(), strict=True):
-        a, b = find(x), find(y)
-        if a != b:
-            root[a] = b
-            tier = 1
-        elif g <= SMALL:
-            tier = 2
-        elif min(best[x], best[y]) < CERTAIN and min(beside[x], beside[y]) < 4:
-            tier = 2
-            beside[x] += 1
-            beside[y] += 1
-        else:
-            continue
-        best[x], best[y] = max(best[x], s), max(best[y], s)
-        p, q = int(ids[x]), int(ids[y])
-        out.append((min(p, q), max(p, q), tier))
-    return out
 
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = batch["sig"].flatten().to_numpy().reshape(-1, HASHES).view(np.uint32).astype(">u4")
+            twice = np.concatenate([sig, sig], 1)
+            for t in range(ORDERS):
+                key = np.ascontiguousarray(twice[:, t * DEPTH : t * DEPTH + SORTED]).tobytes()
+                keys = pa.Array.from_buffers(pa.binary(4 * SORTED), len(sig), [None, pa.py_buffer(key)]).cast(pa.binary())
+                yield pa.record_batch([batch["id"], pa.array(np.full(len(sig), t, np.int32)), keys], names=["id", "tree", "key"])
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, tree = batch["id"].to_numpy(), batch["tree"].to_numpy()
+            key = np.frombuffer(b"".join(batch["key"].to_pylist()), np.uint32).reshape(-1, SORTED)
+            if last is not None:
+                ids, tree, key = (np.concatenate([x, y]) for x, y in zip(last, (ids, tree, key), strict=True))
+            near = (tree[1:] == tree[:-1]) & (key[1:, :DEPTH] == key[:-1, :DEPTH]).all(1)
+            a, b = ids[:-1][near], ids[1:][near]
+            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(tree[1:][near])], names=["a", "b", "tree"])
+            last = ids[-1:], tree[-1:], key[-1:]
 
-def candidates(nodes: DataFrame, percent: int) -> DataFrame:
-    """a, b, tier: the pairs to confirm, each once."""
-    members = regions(nodes).join(nodes, "id")
-    key = ["depth", "tree", "key", "part"]
     count = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sorted_rows = members.repartition(count, *key).sortWithinPartitions(*key)
+    orders = common.save(nodes.select("id", "sig").mapInArrow(turn, "id long, tree int, key binary"))
+    orders = orders.repartitionByRange(count, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
+    return orders.mapInArrow(beside, "a long, b long, tree int").groupBy("a", "b").agg(F.min("tree").alias("tree"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, ids, n, sigs, out = None, [], [], [], []
-
-        def flush() -> None:
-            if len(ids) > 1:
-                out.extend(pairs_of(np.array(ids), np.array(n), np.array(sigs), percent))
 
-        def batch_of() -> pa.RecordBatch:
-            a, b, tier = zip(*out, strict=True) if out else ((), (), ())
-            out.clear()
-            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(tier, pa.int32())], names=["a", "b", "tier"])
-
-        for batch in batches:
-            keys = zip(*(batch[k].to_pylist() for k in key), strict=True)
-            flat = batch["sig"].flatten().to_numpy().reshape(-1, HASHES)
-            for k, i, m, s in zip(keys, batch["id"].to_pylist(), batch["n"].to_pylist(), flat, strict=True):
-                if k != held:
-                    flush()
-                    held, ids, n, sigs = k, [], [], []
-                ids.append(i)
-                n.append(m)
-                sigs.append(s)
-            yield batch_of()
-        flush()
-        yield batch_of()
-
-    return sorted_rows.mapInArrow(run, "a long, b long, tier int").groupBy("a", "b").agg(F.min("tier").alias("tier"))
+def likely_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose estimate and sizes allow a link."""
+    side = lambda name: nodes.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("sig").alias(f"sig_{name}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    same = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    return both.filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (same >= (percent / 100 - SLACK) * HASHES)).select("a", "b", "tree")
 
 
 def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -262,12 +189,12 @@ def blocks(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """tree, key, x, y, id, component, n, sig: the regions that hold several components, their members dealt into pairs of blocks.
 
     Every two members of different components are in one pair of blocks: the largest component's blocks meet all blocks of the others, and
-    those meet each other. Regions of up to SMALL have had all their likely pairs confirmed.
+    those meet each other.
     """
-    rows = keyed(nodes, DEPTH, None).select("id", "tree", "key").join(labels, "id")
+    rows = keyed(nodes).join(labels, "id")
     by = rows.groupBy("tree", "key", "component").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
     top = by.groupBy("tree", "key").agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.max(F.struct("c", "n", "component")).alias("most"), F.count("*").alias("kinds"))
-    top = top.filter((F.col("kinds") > 1) & (F.col("c") > SMALL))
+    top = top.filter(F.col("kinds") > 1)
     parts = lambda c, n: F.ceil(F.greatest(c / BLOCK, n / BLOCK_SHINGLES)).cast("int")
     one = (F.col("c") <= BLOCK) & (F.col("n") <= BLOCK_SHINGLES)
     others = F.when(one, 1).otherwise(parts(F.col("c") - F.col("most.c"), F.col("n") - F.col("most.n")))
@@ -282,9 +209,11 @@ def blocks(nodes: DataFrame, labels: DataFrame) -> DataFrame:
 def likely(n: np.ndarray, component: np.ndarray, sig: np.ndarray, percent: int) -> np.ndarray:
     """Which of a group's documents have a likely partner in another component."""
     out = np.zeros(len(n), bool)
+    sig = sig.astype(np.int8)  # eight bits of each hash: no estimate gets lower
     for at in range(0, len(n), 64):
         own = slice(at, at + 64)
-        e = (sig[own, None, :] == sig[None, :, :]).mean(-1)
+        same = (sig[own, None, :] == sig[None, :, :]).view(np.uint64)
+        e = np.bitwise_count(same).sum(-1, dtype=np.int64) / HASHES
         small, large = np.minimum(n[own, None], n[None, :]), np.maximum(n[own, None], n[None, :])
         out[own] = ((e >= percent / 100 - SLACK) & (100 * small >= percent * large) & (component[own, None] != component[None, :])).any(1)
     return out
@@ -322,9 +251,18 @@ def linked(ids: list[int], component: list[int], found: list[np.ndarray], percen
     return out
 
 
-def bridges(docs: DataFrame, nodes: DataFrame, found: DataFrame, full: DataFrame, width: int, percent: int) -> DataFrame:
+def full_sets(docs: DataFrame, ids: DataFrame, known: DataFrame | None, width: int) -> DataFrame:
+    """id, s: the full sets of the documents named by ids (doc_id), beside those known."""
+    ids = common.save(ids.distinct() if known is None else ids.distinct().join(known.select(F.col("id").alias("doc_id")), "doc_id", "left_anti"))
+    if known is not None and not ids.take(1):
+        return known
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(common.small(ids), "doc_id", "left_semi")
+    more = common.save(sets(texts, width))
+    return more if known is None else known.unionByName(more)
+
+
+def bridges(docs: DataFrame, nodes: DataFrame, labels: DataFrame, full: DataFrame, width: int, percent: int) -> DataFrame:
     """a, b: the links between the components found so far, from all likely pairs of each region."""
-    labels = common.save(nodes.join(found, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component")))
     key = ["tree", "key", "x", "y"]
     count = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -348,30 +286,28 @@ def bridges(docs: DataFrame, nodes: DataFrame, found: DataFrame, full: DataFrame
 
     chosen = blocks(nodes, labels).repartition(count, *key).sortWithinPartitions(*key).mapInArrow(choose, "g long, id long, component long")
     chosen = common.save(chosen.distinct())
-    missing = common.save(chosen.select(F.col("id").alias("doc_id")).distinct().join(full.select(F.col("id").alias("doc_id")), "doc_id", "left_anti"))
-    if missing.count():
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(common.small(missing, 2_000_000), "doc_id", "left_semi")
-        full = full.unionByName(common.save(sets(texts, width)))
+    full = full_sets(docs, chosen.select(F.col("id").alias("doc_id")), full, width)
     return chosen.join(full, "id").select("g", "id", "component", "s").repartition(count, "g").sortWithinPartitions("g").mapInArrow(confirm, "a long, b long")
 
 
-def links(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """a, b: confirmed pairs; id, s: the full sets of the documents that were compared for them."""
-    pairs = common.save(candidates(nodes, percent))
-    wanted = common.save(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(common.small(wanted, 2_000_000), "doc_id", "left_semi")
-    full = common.save(sets(texts, width))
-    sure = common.save(confirmed(pairs.filter("tier = 1"), full, percent))
-    # Pairs that the confirmed ones already connect within a few steps need no check of their own.
-    near = sure.unionByName(sure.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = near.groupBy("a").agg(F.min("b").alias("l")).select(F.col("a").alias("id"), F.least("a", "l").alias("l"))
-    label = common.save(label)
-    step = near.join(label.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("l").alias("m"))
-    label = common.save(label.join(step, label["id"] == step["a"]).select("id", F.least("l", "m").alias("l")))
-    at = lambda name: label.select(F.col("id").alias(name), F.col("l").alias(f"l_{name}"))
-    open_pairs = pairs.filter("tier = 2").join(at("a"), "a", "left").join(at("b"), "b", "left").filter("l_a is null or l_b is null or l_a <> l_b")
-    more = confirmed(common.save(open_pairs.select("a", "b")), full, percent)
-    return sure.unionByName(more), full
+def labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """id, component of every node; links must be saved."""
+    return common.save(nodes.select("id").distinct().join(components(links), "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+
+
+def links(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """a, b: confirmed neighbours; the nodes' components by them; id, s: the full sets of the documents that were compared for them."""
+    pairs = common.save(likely_pairs(common.save(neighbours(nodes)), nodes, percent))
+    ends = lambda x: x.select(F.col("a").alias("doc_id")).unionByName(x.select(F.col("b").alias("doc_id")))
+    first = pairs.filter(F.col("tree") < FIRST)
+    full = full_sets(docs, ends(first), None, width)
+    sure = common.save(confirmed(first, full, percent))
+    at = labelled(nodes, sure)
+    end = lambda name: at.select(F.col("id").alias(name), F.col("component").alias(f"c_{name}"))
+    rest = common.save(pairs.filter(F.col("tree") >= FIRST).join(end("a"), "a").join(end("b"), "b").filter("c_a <> c_b").select("a", "b"))
+    full = full_sets(docs, ends(rest), full, width)
+    sure = common.save(sure.unionByName(confirmed(rest, full, percent)))
+    return sure, labelled(nodes, sure), full
 
 
 def groups(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
@@ -380,12 +316,9 @@ def groups(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
     some = base.filter("n > 0 and doc_id is not null")
     classes = common.save(some.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "sig")).alias("r")).select("k1", "k2", F.col("r.doc_id").alias("id"), F.col("r.n").alias("n"), F.col("r.sig").alias("sig")))
     nodes = classes.select("id", "n", "sig")
-    sure, full = links(docs, nodes, width, percent)
-    sure = common.save(sure)
-    found = common.save(components(sure))
-    more = common.save(bridges(docs, nodes, found, full, width, percent))
-    if more.count():
-        found = components(common.save(sure.unionByName(more)))
+    sure, labels, full = links(docs, nodes, width, percent)
+    more = common.save(bridges(docs, nodes, labels, full, width, percent))
+    found = labels if not more.take(1) else labelled(nodes, common.save(sure.unionByName(more)))
     named = common.save(classes.select("k1", "k2", "id").join(found, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component")))
     out = base.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
@@ -401,7 +334,7 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
         return own.join(_gone(own, width, percent), "doc_id", "left_anti")
     # Other ids are below these, so of a group a row with an id of its own stays first.
     node = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    own = own.join(common.small(again, 2_000_000), "doc_id", "left").withColumn("_node", F.when(F.col("_again"), node).otherwise(F.col("doc_id").cast("long")))
+    own = own.join(common.small(again), "doc_id", "left").withColumn("_node", F.when(F.col("_again"), node).otherwise(F.col("doc_id").cast("long")))
     gone = _gone(own.select(F.col("_node").alias("doc_id"), "text"), width, percent)
     out = own.join(gone.withColumnRenamed("doc_id", "_node"), "_node", "left_anti")
     once = out.filter("_again").dropDuplicates(["_node"])
@@ -410,4 +343,4 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
 
 def _gone(docs: DataFrame, width: int, percent: int) -> DataFrame:
     found = groups(docs, width, percent)
-    return common.small(common.save(found.filter("not kept and doc_id is not null").select("doc_id").distinct()), 2_000_000)
+    return common.small(common.save(found.filter("not kept and doc_id is not null").select("doc_id").distinct()))

@@ -1,7 +1,8 @@
 """Quality rules by document and by host, in DataFrame functions alone.
 
 Method: host-level rules. Each document is measured over its whole text; rule failures are summed by host (`source`), the hosts' failure
-rates are shrunk with a beta prior fitted to all hosts by moments, and the hosts' verdicts are joined back to their documents.
+rates are shrunk with a beta prior fitted to all hosts by moments, and the hosts' verdicts are joined back to their documents. Hosts of fewer than
+HOST_DOCUMENTS documents are judged by the base rules alone: with so few, one of mostly good hosts would lose good documents to chance.
 
 Defined results: null or empty text has no words and fails; a null source is no host and only the base rules judge its documents; repeated
 rows each get a row; an empty table gives an empty table; other columns are not read.
@@ -98,8 +99,11 @@ def judge(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, unchanged.
 
-    The base verdict is computed on the row itself, the host's verdict joins on the source, so repeated ids cannot mix.
+    The base verdict is computed on the row itself, the host's verdict joins on the source, so repeated ids cannot mix. Each text is measured once; the rows
+    are written with their measures, without the texts that fail.
     """
-    hosts = common.save(host_rates(common.save(measures(docs))))
+    measured = measures(docs, *common.DOCUMENT).withColumn("text", F.when(~base_failed(), F.col("text")))
+    measured = common.save(measured)
+    hosts = common.save(host_rates(measured))
     bad = common.small(hosts.filter((F.col("rate") > HOST_RATE) & (F.col("n") >= HOST_DOCUMENTS)).select("source"))
-    return measures(docs, *common.DOCUMENT).filter(~base_failed()).join(bad, "source", "left_anti").select(*common.DOCUMENT)
+    return measured.filter(~base_failed()).join(bad, "source", "left_anti").select(*common.DOCUMENT)

@@ -36,8 +36,9 @@ def _http(n: F.Column) -> F.Column:
     return F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), n, F.lit("\r\n\r\n"))
 
 
-def write_archive(pages: DataFrame, path: str, least: int = 0) -> None:
-    """Writes path/records and path/payloads. Of records with equal payloads of at least `least` bytes the first page's is a response."""
+def write_archive(pages: DataFrame, path: str, least: int = 0, date: str = "1970-01-01T00:00:00Z") -> None:
+    """Writes path/records and path/payloads. Of records with equal payloads of at least `least` bytes the first page's is a response. `date` is when the
+    pages were captured, which every record has to state; nothing here reads the clock."""
     payload = _payload()
     page = F.col("page_id").cast("long")
     url = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("-")), "\r", "%0D"), "\n", "%0A")
@@ -53,7 +54,7 @@ def write_archive(pages: DataFrame, path: str, least: int = 0) -> None:
     length = F.octet_length(_http(F.col("n").cast("string"))) + F.when(own, F.col("n")).otherwise(0)
     header = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(own, F.lit("response")).otherwise(F.lit("revisit")),
-        F.lit("\r\nWARC-Record-ID: "), name(F.col("page_id"), F.col("record")),
+        F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Record-ID: "), name(F.col("page_id"), F.col("record")),
         F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("sha1"),
         F.when(~own, F.concat(F.lit("\r\nWARC-Refers-To: "), name(F.col("_leader"), F.col("_record")), F.lit(f"\r\nWARC-Profile: {PROFILE}"))).otherwise(F.lit("")),
         F.lit("\r\nWARC-Target-URI: "), F.col("url"),

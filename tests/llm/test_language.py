@@ -29,6 +29,18 @@ def test_backoff_goes_from_words_to_shorter_grams():
     assert model.grams[0].get("ouse$") is not None and score("u")[0] in ("de", "en")
 
 
+def test_only_letters_count():
+    score = language.Scorer(language.Model({"ja": {"de": 3}, "yes": {"en": 3}}))
+    assert score("½ ② ³ Ⅷ 12 _ ٣") == ("und", 0.0) and score("½ja②")[0] == "de" and score("一")[0] in ("de", "en")
+
+
+def test_a_rare_language_is_learned_from_a_large_table(spark):
+    data = [(i, "the thing and the song of them", "en") for i in range(3000)] + [(9000 + i, "der und die sache", "de") for i in range(9)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = language.fit(docs, 20)
+    assert model.langs == ["de", "en"] and language.Scorer(model)("und die")[0] == "de"
+
+
 def test_long_texts_in_parts_and_caches_that_fill(monkeypatch):
     monkeypatch.setattr(language, "CACHE", 50)
     score = language.Scorer(language.Model({"ja": {"de": 3}, "yes": {"en": 3}}))

@@ -73,3 +73,20 @@ def test_mixed_documents_hold_the_taken_words(spark):
 
 def test_empty_table(spark):
     assert rows(mixing.taken(mixing.mix(empty(spark)))) == rows(mixing.mixed_documents(empty(spark))) == []
+
+
+def test_draws_from_large_urns_have_the_same_distribution(monkeypatch):
+    r = np.random.default_rng(5)
+    for good, bad, n in ((30, 50, 20), (700, 90, 400), (5, 4000, 2100)):
+        own, ref = np.array([mixing.urn(good, bad, n, r) for _ in range(6000)]), r.hypergeometric(good, bad, n, 200_000)
+        top = max(own.max(), ref.max()) + 1
+        assert np.abs(np.cumsum(np.bincount(own, minlength=top)) / len(own) - np.cumsum(np.bincount(ref, minlength=top)) / len(ref)).max() < 0.03
+    good, bad, n = 3 * 10**12, 7 * 10**12, 4 * 10**12
+    own = np.array([mixing.urn(good, bad, n, r) for _ in range(3000)], float)
+    spread = np.sqrt(n * 0.3 * 0.7 * 0.6)
+    assert abs(own.mean() - n * 0.3) < 0.1 * spread and abs(own.std() / spread - 1) < 0.06
+    # One path for all sizes: totals and earlier counts hold where the top of the tree is a large urn.
+    totals = np.array([2 * 10**9, 0, 7 * 10**8, 5])
+    size = -(-int(totals.sum()) // 8)
+    parts = [mixing.drawn(totals, 8, k, size, 3) for k in range(8)]
+    assert (sum(p[0] for p in parts) == totals).all() and (parts[5][1] == sum(p[0] for p in parts[:5])).all()
