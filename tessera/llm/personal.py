@@ -1,9 +1,10 @@
 """Finds personal data: e-mail addresses, IP addresses, card numbers, phone numbers.
 
 Method: patterns give the base spans, and a character-level BiLSTM-CRF (tagger.py) adds spans that they miss, such as phone numbers without a
-plus sign. The text is tagged in overlapping windows; the windows' spans are reconciled over the whole text by the heaviest set of spans that
-do not overlap (weights: how much the tags beat `O`), and those that touch a base span yield to it. An added span must hold what its kind needs
+plus sign. The text is tagged in overlapping windows; spans that touch a base span yield to it, and of the others the heaviest set that
+does not overlap is taken over the whole text (weights: the log odds of the tags against `O`). An added span must hold what its kind needs
 (an @ with a dot after it, or the right digits), so windows that hold neither an @ nor four digits outside base spans cannot add one and are not tagged.
+The weights were trained once (tagger.py) and lie beside the code.
 
 n_email and so on count the base spans; n_added counts the others.
 
@@ -28,8 +29,8 @@ from .tagger import KINDS, WINDOW, Tagger, luhn
 STRIDE = 80
 #: Windows that are tagged at once.
 AT_ONCE = 512
-#: An added span's tags must beat `O` by this much at each position, on average.
-MARGIN = 2.0
+#: The log of the odds by which an added span's tags must beat `O` all along, transitions counted.
+MARGIN = 4.0
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -146,10 +147,7 @@ class Finder:
             self.tag(texts, held, heavy)
         out = []
         for base, extra in zip(found, heavy, strict=True):
-            added = chosen(extra)
-            taken = sorted((a, b) for _, a, b in base)
-            clear = [s for s in added if not any(a < s[2] and s[1] < b for a, b in taken)] if len(taken) < 50 else free_of(added, taken)
-            out.append((base, clear))
+            out.append((base, chosen(free_of(extra, sorted((a, b) for _, a, b in base)))))
         return out
 
     def tag(self, texts: list[str], held: list[tuple[int, int, np.ndarray]], heavy: list[list[tuple[float, str, int, int]]]) -> None:
@@ -174,15 +172,15 @@ class Finder:
                     a += 1
                 while b > a and text[b - 1] in " .,;:-\n":
                     b -= 1
-                weight = float(gain[r, start:end].sum())
+                weight = float(gain[r, start:end].sum()) + self.model.ahead(row, start, end)
                 # A number inside a longer one, or a word, is none by itself.
                 alone = (a == 0 or not (text[a - 1].isalnum() or text[a - 1] in "@._-+/:#")) and (b == len(text) or not (text[b].isalnum() or text[b : b + 1] in "@_/"))
-                if inside and alone and weight > MARGIN * (end - start) and plausible(kind, text[a:b]):
+                if inside and alone and weight > MARGIN and plausible(kind, text[a:b]):
                     heavy[k].append((weight, kind, a, b))
 
 
-def free_of(spans: list[Span], taken: list[tuple[int, int]]) -> list[Span]:
-    """The spans that touch none of the taken runs; both in order of start, the runs merged first."""
+def free_of(spans: list[tuple[float, str, int, int]], taken: list[tuple[int, int]]) -> list[tuple[float, str, int, int]]:
+    """The weighted spans that touch none of the taken runs, which are in order of start."""
     merged: list[list[int]] = []
     for a, b in taken:
         if merged and a <= merged[-1][1]:
@@ -190,10 +188,10 @@ def free_of(spans: list[Span], taken: list[tuple[int, int]]) -> list[Span]:
         else:
             merged.append([a, b])
     out, k = [], 0
-    for s in sorted(spans, key=lambda s: s[1]):
-        while k < len(merged) and merged[k][1] <= s[1]:
+    for s in sorted(spans, key=lambda s: s[2]):
+        while k < len(merged) and merged[k][1] <= s[2]:
             k += 1
-        if k == len(merged) or merged[k][0] >= s[2]:
+        if k == len(merged) or merged[k][0] >= s[3]:
             out.append(s)
     return out
 
