@@ -68,7 +68,8 @@ REFANG = [
     (r"~s{0,4}[\[\(\{<]~s*\/\/~s*[\]\)\}>]~s*", "//"),
     (r"~s{0,4}[\[\(\{<]~s*\/~s*[\]\)\}>]~s*", "/"),
 ]
-LOOSE_MAIL = r"\b([A-Za-z0-9._%+-]+)~s+(?:at|AT|собака)~s+([A-Za-z0-9-]+(?:~s+(?:dot|DOT|точка)~s+[A-Za-z0-9-]+)+)"
+#: What stands before the name in its run of signs, the name, the host. A run is tried once, from its start.
+LOOSE_MAIL = r"(?<![A-Za-z0-9._%+-])([.%+-]*+)([A-Za-z0-9_][A-Za-z0-9._%+-]*+)~s++(?:at|AT|собака)~s++([A-Za-z0-9-]++(?:~s++(?:dot|DOT|точка)~s++[A-Za-z0-9-]++)+)"
 LOOSE_MAIL_DOT = r"~s+(?:dot|DOT|точка)~s+"
 _FLAT = r"[\x09\x0B\x0C\x20\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 LOOSE_DOT = _FLAT + r"{1,4}(?:dot|DOT|точка)" + _FLAT + r"{1,4}"
@@ -119,10 +120,10 @@ html htm css scss less ts tsx jsx vue map lock sql db sqlite bak tmp dat bin
 """.split()
 DOMAIN_ENDINGS = ["com", "pl"]
 
-#: Top-level zones, by rule: two Latin letters, punycode, non-Latin letters, and these generic ones. Another list may be passed.
+#: Top-level zones where the machine holds no list of them (zones.py): two Latin letters, punycode, non-Latin letters, and these generic ones.
 GENERIC_ZONES = """
 aero app arpa art asia biz blog cat cloud club com coop dev edu email events fun gov group guru host info int io jobs link live ltd
-media mil mobi museum name net network news ninja one online onion org page post press pro pub pw run sale services shop site
+media mil mobi museum name net network news ninja one online org page post press pro pub pw run sale services shop site
 solutions space store stream studio support systems tech tel today tools top travel vip website wiki win work works world xxx xyz zip zone
 academy agency bank bar best bid buzz cafe care cash center chat click company computer cool date digital directory domains download
 education energy engineering exchange expert express finance fit fund games global green health help holdings hosting house icu ink
@@ -136,9 +137,11 @@ PLATFORMS = [
     "x.com", "twitter.com", "t.me", "telegram.me", "telegram.org", "vk.com", "ok.ru", "dzen.ru", "max.ru", "rutube.ru", "linkedin.com", "facebook.com",
     "instagram.com", "threads.net", "youtube.com", "youtu.be", "whatsapp.com", "viber.com", "medium.com", "habr.com", "substack.com", "mastodon.social", "infosec.exchange", "bsky.app",
 ]
+# Hosts that gather reports on indicators.
 AGGREGATORS = [
     "virustotal.com", "any.run", "tria.ge", "hybrid-analysis.com", "urlscan.io", "abuse.ch", "malpedia.caad.fkie.fraunhofer.de", "attack.mitre.org", "nvd.nist.gov", "cve.org", "cve.mitre.org",
 ]
+# Hosts of page measurement, advertising, consent and chat.
 TELEMETRY = """
 roistat.com google-analytics.com googletagmanager.com analytics.google.com mc.yandex.ru mc.yandex.com metrika.yandex.ru metrica.yandex.com
 top-fwz1.mail.ru top.mail.ru tns-counter.ru counter.yadro.ru liveinternet.ru matomo.cloud piwik.pro plausible.io simpleanalytics.com

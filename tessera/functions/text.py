@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
+from . import zones
 
 C = Column | str
 
@@ -36,7 +37,7 @@ def refang(c: C) -> Column:
 def refang_loose(c: C) -> Column:
     """refang(), then words for signs: `a at b dot c`, ` dot `, and a dot between blanks."""
     x = refang(c)
-    mail = F.regexp_replace(x, F.lit(P.java(P.LOOSE_MAIL)), F.lit("$1@$2"))
+    mail = F.regexp_replace(x, F.lit(P.java(P.LOOSE_MAIL)), F.lit("$1$2@$3"))
     # The replaced address keeps its worded dots, which the next rule turns into signs as well.
     dots = F.regexp_replace(mail, F.lit(P.java(P.LOOSE_DOT)), F.lit("."))
     return F.regexp_replace(dots, F.lit(P.java(P.LOOSE_SPACED_DOT)), F.lit("."))
@@ -108,8 +109,10 @@ def ipv4_text(c: C) -> Column:
 
 
 def zone(c: C) -> Column:
-    """The last label if it is a top-level zone: two letters, punycode, a known generic one, or letters beyond ASCII; else null."""
+    """The last label if it is a top-level zone by the machine's list, or by rule where there is none (zones.py); else null."""
     last = F.element_at(F.split(F.lower(col(c)), r"\."), -1)
+    if listed := zones.known():
+        return F.when(F.array_contains(F.split(F.lit(" ".join(sorted(listed))), " "), last), last)
     known = last.rlike(P.ZONE_RULE) | last.isin(P.GENERIC_ZONES) | last.rlike(r"\A[\p{L}&&[^\x00-\x7F]][\p{L}]+\z")
     return F.when(known, last)
 

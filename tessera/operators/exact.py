@@ -4,6 +4,7 @@ passes over loosely disarmed and line-wrapped text. Python over Arrow batches; e
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -13,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions import patterns as P
+from ..functions.zones import is_zone
 
 DELIMITERS = ",;\t|"
 HASHES = (32, 40, 64, 128)
@@ -55,7 +57,7 @@ def refang(text: str) -> str:
 
 def refang_loose(text: str) -> str:
     dots = compiled(P.LOOSE_MAIL_DOT)
-    text = compiled(P.LOOSE_MAIL).sub(lambda m: f"{m[1]}@{dots.sub('.', m[2])}", refang(text))
+    text = compiled(P.LOOSE_MAIL).sub(lambda m: f"{m[1]}{m[2]}@{dots.sub('.', m[3])}", refang(text))
     return compiled(P.LOOSE_SPACED_DOT).sub(".", compiled(P.LOOSE_DOT).sub(".", text))
 
 
@@ -63,8 +65,7 @@ def zone(name: str, zones: frozenset[str] | None = None) -> str | None:
     labels = name.lower().split(".")
     if zones is not None:
         return next((z for z in (".".join(labels[-2:]), labels[-1]) if z in zones), None)
-    last = labels[-1]
-    return last if re.match(P.ZONE_RULE, last) or last in P.GENERIC_ZONES or (not last.isascii() and last.isalpha()) else None
+    return labels[-1] if is_zone(labels[-1]) else None
 
 
 def file_name(name: str, marked: set[str]) -> bool:
@@ -138,6 +139,22 @@ _PATH = re.compile(r"/[A-Za-z0-9._~\-/%?#&=+,;:@!$'*]{1,300}")
 _AS_WORD = re.compile(r"[A-Za-z]{2}AS[0-9]")
 
 
+class Lines:
+    """For each line of a text whether it, or the last line before it that isn't blank, speaks of techniques."""
+
+    def __init__(self, text: str):
+        self.starts, self.speaks, at, above = [], [], 0, False
+        for line in text.split("\n"):
+            own = bool(re.search(P.TECHNIQUE_CONTEXT, line))
+            self.starts.append(at)
+            self.speaks.append(own or above)
+            above = own if line.strip() else above
+            at += len(line) + 1
+
+    def named(self, at: int) -> bool:
+        return self.speaks[bisect_right(self.starts, at) - 1]
+
+
 class Scan:
     """One strict pass over a text."""
 
@@ -155,6 +172,7 @@ class Scan:
 
     def pass_of(self, kind: str) -> None:
         snapshot, at, pattern, counts = "".join(self.chars), 0, compiled(P.TYPES[kind]), {}
+        lines = Lines(snapshot) if kind == "attack" else None
         if kind == "domain":
             for m in domains(snapshot):
                 if not file_name(m.group(), self.marked) and zone(m.group(), self.zones):
@@ -172,7 +190,7 @@ class Scan:
                     length -= len(value) - value.find(d)
                     value = value[: value.find(d)]
             elif kind == "attack":
-                if not re.search(P.TECHNIQUE_CONTEXT, self.lines_at(start)):
+                if not lines.named(start):
                     continue
                 value = re.sub(r"^T(\d{4})(?:[./](\d{3}))?.*", lambda x: f"T{x[1]}" + (f".{x[2]}" if x[2] else ""), value)
             elif kind == "bdu":
@@ -183,13 +201,6 @@ class Scan:
                 self.claim(kind, value, start, length)
                 at = start + length
 
-    def lines_at(self, at: int) -> str:
-        """The line of a place and the last line before it that isn't blank."""
-        text = "".join(self.chars)
-        left, right = text.rfind("\n", 0, at) + 1, text.find("\n", at)
-        above = [x for x in text[: max(0, left - 1)].split("\n") if x.strip()] if left else []
-        return (above[-1] if above else "") + "\n" + text[left : right if right >= 0 else None]
-
     def near(self, start: int, length: int) -> str:
         return " ".join(self.text[max(0, start - self.around) : start + length + self.around].split()) if self.around else ""
 

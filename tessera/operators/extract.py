@@ -33,8 +33,9 @@ def _hits(type_: str, mask: Column) -> Column:
         line_hits = lambda l: F.transform(F.regexp_extract_all(l, F.lit(P.java(P.TYPES[type_])), F.lit(0)), lambda v: _record_cut(T.trim_tail(v), l))  # noqa: E731, E741
         return F.filter(F.flatten(F.transform(F.split(mask, "\n"), line_hits)), lambda v: v != "")
     if type_ == "attack":
-        lines = F.split(mask, "\n")
-        before = lambda i: F.coalesce(F.try_element_at(F.filter(F.slice(lines, F.lit(1), i), lambda l: F.trim(l) != ""), F.lit(-1)), F.lit(""))  # noqa: E731, E741
+        # Among the lines that aren't blank, the last one before a line is its neighbour.
+        lines = F.filter(F.split(mask, "\n"), lambda l: F.trim(l) != "")  # noqa: E741
+        before = lambda i: F.coalesce(F.get(lines, i - 1), F.lit(""))
         gate = lambda l, i: F.when((F.regexp_count(l, F.lit(P.java(P.TYPES["attack"]))) > 0) & F.concat(before(i), F.lit("\n"), l).rlike(P.java(P.TECHNIQUE_CONTEXT)), l)  # noqa: E731, E741
         kept = F.array_compact(F.transform(lines, gate))
         return F.transform(F.flatten(F.transform(kept, lambda l: F.regexp_extract_all(l, F.lit(P.java(P.TYPES["attack"])), F.lit(0)))), T.canonical_technique)  # noqa: E741

@@ -63,5 +63,15 @@ def derived_types(steps: DataFrame, tools: DataFrame) -> DataFrame:
 
 
 def deny_listed(hosts: DataFrame, denied: DataFrame) -> DataFrame:
-    """Hosts that contain an entry of the deny list (at most two hundred entries, so this join over each is bounded)."""
-    return hosts.join(F.broadcast(denied.limit(200)), F.contains(F.col("host"), F.col("entry")), "left_semi")
+    """Rows whose host contains an entry of the deny list, of any length; letter case doesn't count, empty and null entries hold for none.
+
+    A host holds few parts of the lengths that entries have, so entries meet parts by equality.
+    """
+    entries = denied.select(F.lower("entry").alias("part")).filter("part <> ''").distinct()
+    lengths = sorted(r[0] for r in entries.select(F.length("part")).distinct().collect())  # a host has 253 letters at most
+    low = F.lower("host")
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda k: F.substring(low, k, F.lit(n)))
+    parts = [F.when(F.length(low) >= n, of(n)).otherwise(F.array().cast("array<string>")) for n in lengths]
+    every = F.explode(F.array_distinct(F.flatten(F.array(*parts)))) if parts else F.explode(F.array().cast("array<string>"))
+    bad = hosts.select("host").distinct().select("host", every.alias("part")).join(entries, "part", "left_semi").select("host").distinct()
+    return hosts.join(bad, "host", "left_semi").select(*hosts.columns)

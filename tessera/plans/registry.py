@@ -22,10 +22,10 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; one of texts whose files make fewer tasks than there are cores is dealt to all of them first."""
+    """A table; one whose files make fewer tasks than there are cores is dealt to all of them first if its rows are texts or become texts."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name in ("documents", "pages") and df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if name in ("documents", "pages", "customer") and df.rdd.getNumPartitions() < cores else df
 
 
 def carrier(spark: SparkSession, sf_dir: str, source: str, columns: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset, below a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
+    """A new folder below spark.checkpoint.dir; where that is unset, below a temporary one, but only on one machine: executors don't share theirs."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    base = base or tempfile.mkdtemp(prefix="tessera-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 

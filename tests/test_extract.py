@@ -72,3 +72,17 @@ def test_texts_are_independent(spark):
     docs = spark.createDataFrame([(1, "203.0.113.1"), (2, None), (3, ""), (1, "203.0.113.1")], "doc_id long, text string")
     assert [(r["doc_id"], r["value"], r["n"]) for r in extract.indicators(docs).collect()] == [(1, "203.0.113.1", 2)]
     assert sorted((r["doc_id"], r["value"]) for r in exact.extracted(docs).collect()) == [(1, "203.0.113.1")] * 2
+
+
+def test_zones_are_the_public_ones(spark, tmp_path):
+    from tessera.functions import zones
+
+    path = tmp_path / "zones"
+    path.write_text("// c\n# c\nCOM\n*.ck\nco.uk\nрф\nonion\n// ===END ICANN DOMAINS===\nprivate\n", encoding="utf-8")
+    assert zones.read(str(path)) == {"com", "ck", "uk", "рф", "xn--p1ai"}
+    assert exact.zone("a.co.uk", frozenset({"co.uk"})) == "co.uk" and exact.zone("a.uk", frozenset({"co.uk"})) is None
+    if zones.known():
+        good, bad = "evil.sbs bad.cfd x.lol y.quest z.monster q.google w.beauty m.bond", "foo.zz a.notazone"
+        assert {i.value for i in exact.extract(f"{good} {bad}") if i.type == "domain"} == set(good.split())
+        docs = spark.createDataFrame([(1, f"{good} {bad}")], "doc_id long, text string")
+        assert {r["value"] for r in extract.indicators(docs).collect()} == set(good.split())

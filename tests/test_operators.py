@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import attack, exports, graph, lists, noise, ranges, stores, timeline
+from tessera.operators import attack, exports, graph, lists, noise, ranges, registry, stores, timeline
 from tessera.sources import files, har, mail
 from tessera.streaming import run, state
 
@@ -186,3 +186,10 @@ def test_capture_gate(spark, tmp_path):
     spark.createDataFrame(data, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     got = sorted(rows(run.drained(state.captures(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))), "append")), key=lambda r: r["ord"])
     assert [r["reason"] for r in got] == [None, "pause", "tab", "origin", None, "time"]
+
+
+def test_deny_list_of_any_length(spark):
+    hosts = spark.createDataFrame([(1, "www.YouTube.example"), (2, "a.internal"), (3, "fine.example"), (4, None), (5, ""), (6, "x" * 250 + "e9")], "id long, host string")
+    denied = spark.createDataFrame([(f"none{k}",) for k in range(500)] + [("youtube",), (".INTERNAL",), ("",), (None,), ("e9",)], "entry string")
+    assert sorted(r["id"] for r in rows(registry.deny_listed(hosts, denied))) == [1, 2, 6]
+    assert rows(registry.deny_listed(hosts, denied.limit(0))) == []
