@@ -1,14 +1,16 @@
 """Removes long repeated passages, byte by byte.
 
-Method: prefix-free parsing. Rolling-hash triggers cut the texts into overlapping phrases; the dictionary of distinct phrases is put in order of the
-phrases' 100-byte suffixes and the parse says where each phrase first occurs, which together give every repeated string its first place in the corpus.
+Method: prefix-free parsing, with hashes in place of its suffix arrays. Rolling-hash triggers cut the texts into overlapping phrases; the dictionary of
+distinct phrases says which of their 100-byte suffixes are equal, and the parse says where each phrase first occurs, which together give every repeated string its
+first place in the corpus. Equal suffixes are found by grouping hashes, not by sorting: no suffix array of dictionary or parse is built, and there is no
+lexicographic order of the corpus, for the sorted suffixes of the dictionary alone would be several times the input (README).
 
 A trigger is the position with the least hash of TRIGGER bytes among those of a string of `length` bytes, so equal strings have equal triggers at equal
 offsets, and each string belongs to exactly one phrase: the phrase of a trigger is the text that its strings cover. Then, from coarse to fine:
 phrases whose trigger bytes occur once in the corpus repeat nowhere; a phrase that occurs earlier as a whole repeats as a whole; what is left are first
 occurrences of phrases that share their trigger with others, whose suffixes are compared one by one.
 
-Strings are compared by 128 bits (two independent 64-bit hashes), never by less.
+Strings are compared by 128 bits (two independent 64-bit hashes: of the trigger or the part that all strings share, and of the whole), never by less.
 
 Defined results: null text is empty; texts shorter than `length` stay whole; rows without an id come after all others; rows that repeat an id
 count as one document, so of equal rows none is earlier; an empty table gives an empty table; other columns are not read. Long texts are
@@ -173,11 +175,11 @@ def finer(texts: DataFrame, entries: DataFrame, length: int, trigger: int, cell:
 
     total = entries.count()
     listed = entries.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "more", "off")).alias("entries"))
-    return texts.join(F.broadcast(listed) if total <= BOUND else listed, "doc_id").select("doc_id", "text", "entries").mapInArrow(run, PARSE)
+    return texts.join(F.broadcast(listed) if 24 * total <= BOUND else listed, "doc_id").select("doc_id", "text", "entries").mapInArrow(run, PARSE)
 
 
-#: A broadcast holds at most so many phrases, keys or runs of some twenty bytes.
-BOUND = 2_000_000
+#: Bytes of a broadcast of phrases, keys or runs; beyond them the joins shuffle.
+BOUND = 48 << 20
 
 
 def resolved(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
@@ -246,7 +248,7 @@ def removed(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, keep_
     every = F.array(F.struct(F.lit(0).alias("a"), F.col("n").cast("int").alias("b")))
     runs = runs.unionByName(copies.select("doc_id", every.alias("runs"))).withColumnRenamed("doc_id", "id")
     size = runs.agg(F.sum(F.size("runs"))).first()[0] or 0
-    out = own.join(F.broadcast(runs) if size <= BOUND else runs, "id", "left").select("doc_id", "text", "runs")
+    out = own.join(F.broadcast(runs) if 24 * size <= BOUND else runs, "id", "left").select("doc_id", "text", "runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
