@@ -34,6 +34,15 @@ CACHE = 100_000
 UNKNOWN = "und"
 #: What Python counts as a word's character by its numeric value, though it is no letter: fractions, circled and Roman numerals and the like.
 _NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_WORDS = re.compile(r"[^\W\d_]+")
+_NUMERAL = frozenset(_NUMERALS)
+
+
+def letters_of(text: str) -> re.Pattern:
+    """The pattern of a text's runs of letters: the class without numerals is slow, and few texts hold any."""
+    return _WORDS if text.isascii() or _NUMERAL.isdisjoint(text) else _LETTERS
+
+
 _LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 _AT_ONCE = 200_000
 
@@ -92,7 +101,9 @@ class Scorer:
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         langs, total, any_word = self.model.langs, np.zeros(len(self.model.langs)), False
-        words = (m.group() for m in _LETTERS.finditer(text.lower())) if text and len(text) > 1_000_000 else iter(_LETTERS.findall((text or "").lower()))
+        low = (text or "").lower()
+        pattern = letters_of(low)
+        words = (m.group() for m in pattern.finditer(low)) if len(low) > 1_000_000 else iter(pattern.findall(low))
         while part := list(itertools.islice(words, _AT_ONCE)):
             any_word = True
             for some in (part[i : i + CACHE // 2] for i in range(0, len(part), CACHE // 2)):
