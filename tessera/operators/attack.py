@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 VERDICTS = ("malicious", "suspicious", "clean", "irrelevant", "unknown")
@@ -93,3 +93,80 @@ def folded_binaries(raw: DataFrame) -> DataFrame:
 
 def ordinal(df: DataFrame, by: list[str], order: str) -> F.Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(order))
+
+
+# The fields of a catalogue file.
+CATALOGUE = "techniques MAP<STRING, ARRAY<STRING>>, tactics ARRAY<STRING>, attack STRUCT<`версия`: STRING, `собрано`: STRING>"
+
+
+def catalogue_of(raw: DataFrame) -> DataFrame:
+    """id, name, tactics of a catalogue file ({techniques: {id: [name, [numbers of tactics], ...]}, tactics}); a file of another form is an error."""
+    read = raw.select(F.from_json("raw", CATALOGUE).alias("c"))
+    sound = F.col("c.techniques").isNotNull() & F.col("c.tactics").isNotNull()
+    rows = read.select(F.explode(F.when(sound, F.col("c.techniques")).otherwise(F.raise_error(F.lit("no catalogue of techniques")))).alias("id", "entry"), "c.tactics")
+    numbers = F.from_json(F.get("entry", F.lit(1)), "ARRAY<INT>")
+    named = F.filter(F.transform(F.coalesce(numbers, F.array().cast("array<int>")), lambda k: F.get("tactics", k)), lambda t: t.isNotNull())
+    return rows.select("id", F.get("entry", F.lit(0)).alias("name"), named.alias("tactics"))
+
+
+def catalogue_summary(raw: DataFrame) -> DataFrame:
+    """entries, tactics, version, built of a catalogue file; version and date are null where the file has none."""
+    read = raw.select(F.from_json("raw", CATALOGUE).alias("c")).filter(F.col("c.techniques").isNotNull())
+    return read.select(F.size(F.map_keys("c.techniques")).alias("entries"), F.coalesce(F.size("c.tactics"), F.lit(0)).alias("tactics"), F.col("c.attack.`версия`").alias("version"), F.col("c.attack.`собрано`").alias("built"))
+
+
+def technique_facts(items: DataFrame, catalogue: DataFrame, column: str) -> DataFrame:
+    """The items' columns, name, value: a technique's name, tactics and parent, or that the catalogue has no such technique."""
+    of = catalogue.select("id", "name", F.array_join("tactics", ", ").alias("tactics"))
+    side = lambda key: of.select(F.col("id").alias(key), F.col("name").alias(f"{key}_name"), F.col("tactics").alias(f"{key}_tactics"))
+    own = items.withColumn("_t", technique_id(column)).withColumn("_p", F.when(F.contains(F.col("_t"), F.lit(".")), F.substring_index("_t", ".", 1)))
+    own = own.join(side("_t"), "_t", "left").join(side("_p"), "_p", "left")
+    fact = lambda name, value: F.when(value.isNotNull(), F.struct(F.lit(name).alias("name"), value.alias("value")))
+    known = F.array(fact("technique", F.col("_t_name")), fact("tactics", F.nullif("_t_tactics", F.lit(""))), fact("parent", F.concat("_p", F.lit(" — "), "_p_name")))
+    rows = F.when(F.col("_t_name").isNotNull(), F.filter(known, lambda f: f.isNotNull())).otherwise(F.array(fact("warning", F.lit("no such technique"))))
+    return own.select(*items.columns, F.inline(rows))
+
+
+def cell(c: Column) -> Column:
+    """A value as a cell of a Markdown table."""
+    return F.trim(F.regexp_replace(F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|")), r"\s*\n\s*", " "))
+
+
+def _lines(rows: Column) -> Column:
+    return F.array_join(F.transform(F.array_sort(rows), lambda x: x["line"]), "\n")
+
+
+def coverage_markdown(items: DataFrame, catalogue: DataFrame, order: list[str], client: bool = False) -> DataFrame:
+    """case_id, text: a report's section on techniques: counts, a table by tactic, a table of techniques, and ids that the catalogue lacks.
+
+    Tactics stand in the given order, others after them by name. In client mode the columns of who checked and what was seen are not made at all.
+    Every list is bound by the catalogue and the case.
+    """
+    own = items.filter(F.col("type") == "attack").withColumn("id", technique_id("value")).filter("id is not null")
+    verdict = F.when(F.col("f.verdict").isin(*VERDICTS), F.col("f.verdict")).otherwise("unknown")
+    first = own.groupBy("case_id", "id").agg(F.min_by(F.struct("verdict", "verdict_source", "note"), "ord").alias("f")).select("case_id", "id", verdict.alias("v"), F.col("f.verdict_source").alias("checked"), F.col("f.note").alias("note"))
+    rows = first.join(catalogue.select("id", "name", "tactics"), "id", "left")
+    text = lambda c: c.cast("string")
+    many = lambda v: F.count_if(F.col("v") == v)
+    found = F.count_if(F.col("name").isNotNull())
+    counts = F.concat_ws(" · ", *[F.when(many(v) > 0, F.concat(F.lit(f"{v}: "), text(many(v)))) for v in VERDICTS])
+    head = F.concat(F.lit("> Techniques in the case: **"), text(F.count("*")), F.lit("**"), F.when(found != F.count("*"), F.concat(F.lit(" (in the catalogue: "), text(found), F.lit(")"))).otherwise(""), F.lit(". "), counts, F.lit("."))
+    open_ = F.when(many("unknown") > 0, F.concat(F.lit("\n>\n> **Not checked: "), text(many("unknown")), F.lit("**"))).otherwise("")
+    missing = F.array_sort(F.collect_list(F.when(F.col("name").isNull(), F.concat(F.lit("`"), "id", F.lit("`")))))
+    tail = F.when(F.size(missing) > 0, F.concat(F.lit("\n\n> Not in the catalogue: "), F.array_join(missing, ", "))).otherwise("")
+    cases = rows.groupBy("case_id").agg(F.concat(head, open_).alias("head"), tail.alias("tail"))
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("tactic"))
+    flat = rows.filter("name is not null").withColumn("tactic", F.explode(F.when(F.size("tactics") > 0, F.col("tactics")).otherwise(F.array(F.lit("—")))))
+    flat = flat.withColumn("at", F.when(place > 0, place).otherwise(len(order) + 1))
+    line = lambda *c: F.concat(F.lit("| "), F.concat_ws(" | ", *c), F.lit(" |")).alias("line")
+    link = F.concat(F.lit("["), cell(F.col("name")), F.lit("](https://attack.mitre.org/techniques/"), F.replace("id", F.lit("."), F.lit("/")), F.lit("/)"))
+    last = [] if client else [F.coalesce(F.nullif(cell(F.col(c)), F.lit("")), F.lit("—")) for c in ("checked", "note")]
+    each = F.collect_list(F.struct("at", "tactic", "id", line(cell(F.col("tactic")), F.concat(F.lit("`"), "id", F.lit("`")), link, F.col("v"), *last)))
+    by = flat.groupBy("case_id", "at", "tactic").agg(line(cell(F.col("tactic")), text(F.count("*")), text(many("malicious")), text(many("suspicious")), text(many("unknown"))))
+    sums = by.groupBy("case_id").agg(_lines(F.collect_list(F.struct("at", "tactic", "line"))).alias("sums"))
+    details = flat.groupBy("case_id").agg(_lines(each).alias("details"))
+    titles = ["Tactic", "ID", "Technique", "Verdict", *([] if client else ["Checked with", "Observation"])]
+    top = "\n\n| Tactic | Techniques | Malicious | Suspicious | Not checked |\n|---|---:|---:|---:|---:|\n"
+    mid = f"\n\n| {' | '.join(titles)} |\n|{'---|' * len(titles)}\n"
+    tables = F.when(F.col("sums").isNotNull(), F.concat(F.lit(top), "sums", F.lit(mid), "details")).otherwise("")
+    return cases.join(sums, "case_id", "left").join(details, "case_id", "left").select("case_id", F.concat("head", tables, "tail").alias("text"))

@@ -131,3 +131,29 @@ def report(items: DataFrame, cap: int = 60) -> DataFrame:
     one = rows.groupBy("case_id", "type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", cell.alias("c")))), lambda x: x["c"]), "\n").alias("t"), F.first("_n").alias("n"))
     more = F.when(F.col("n") > cap, F.concat(F.lit("\n… and "), (F.col("n") - cap).cast("string"), F.lit(" more"))).otherwise("")
     return one.select("case_id", "type", F.concat("t", more).alias("table"))
+
+
+RULE_TYPES = ("domain", "email", "ipv4", "ipv6", "md5", "sha1", "sha256", "url")
+
+
+def assembled(items: DataFrame, per_type: int = PER_TYPE) -> DataFrame:
+    """case_id, sigma, suricata, yara (null: nothing to put there), notes: a case's drafts and, in words, what is not in them."""
+    own, known = F.coalesce("own", F.lit(False)), F.col("type").isin(*RULE_TYPES)
+    open_ = items.filter(~F.coalesce("verdict", F.lit("unknown")).isin(*EXCLUDED))
+    by = open_.groupBy("case_id", "type").agg(F.count_if(~own).alias("n"), F.count_if(own & known).alias("own"))
+    unused = F.when(~known & (F.col("n") > 0), F.concat("type", F.lit(": "), F.col("n").cast("string"), F.lit(" values, no rule is made of this type")))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    per = by.groupBy("case_id").agg(total("own").alias("own"), total(F.when(known, F.greatest(F.col("n") - per_type, F.lit(0)))).alias("over"), F.array_sort(F.collect_list(unused)).alias("types"))
+    joined = lambda rows, key, sep: rows.groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "rule"))), lambda x: x["rule"]), sep).alias("rule"))
+    drafts = {"sigma": joined(sigma(items), "logsource", "\n---\n"), "suricata": joined(suricata(items), "sid", "\n"), "yara": yara(items)}
+    out = items.select("case_id").distinct().join(per, "case_id", "left")
+    for name, rows in drafts.items():
+        out = out.join(rows.select("case_id", F.col("rule").alias(name)), "case_id", "left")
+    none = F.coalesce(*drafts).isNull()
+    note = lambda c, words: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(words)))
+    notes = F.concat(
+        F.array(note("own", " own values are left out"), note("over", f" values are left out: at most {per_type} of a type")), "types",
+        F.array(*[F.when(F.col(c).isNull(), F.lit(f"{c}: nothing to put in a rule")) for c in drafts]),
+    )
+    notes = F.when(none, F.array(F.lit("no indicator of the case can be in a rule; cleared and irrelevant ones are left out on purpose"))).otherwise(F.filter(notes, lambda x: x.isNotNull()))
+    return out.select("case_id", *drafts, notes.alias("notes"))

@@ -91,3 +91,40 @@ def invocations(docs: DataFrame, pack: DataFrame) -> DataFrame:
     keys = pack.select(F.lower("key").alias("key"), "name")
     hit = rows.join(keys, "key").select("doc_id", "name").unionByName(rows.filter("bare <> key").join(keys.withColumnRenamed("key", "bare"), "bare").select("doc_id", "name"))
     return hit.groupBy("doc_id", "name").agg(F.count("*").alias("n"))
+
+
+# Templates of searches.
+TEMPLATES = {
+    "exact": '"{{q}}"',
+    "filetype": "{{q}} filetype:pdf",
+    "ioc-list": "{{q}} (filetype:csv OR filetype:txt OR filetype:json)",
+    "title": 'intitle:"{{q}}"',
+    "url": "inurl:{{q}}",
+    "github": "site:github.com {{q}}",
+    "paste": "(site:pastebin.com OR site:ghostbin.com OR site:rentry.co) {{q}}",
+    "recent": "{{q}} (site:x.com OR site:infosec.exchange OR site:reddit.com)",
+    "no-noise": "{{q}} -site:virustotal.com -site:abuseipdb.com -site:pulsedive.com",
+}
+
+
+def templated(queries: DataFrame) -> DataFrame:
+    """The queries' columns, template, search: each template with the trimmed text in its place; blank texts have none."""
+    own = queries.filter(F.trim("text") != "")
+    rows = F.array(*[F.struct(F.lit(k).alias("template"), F.replace(F.lit(t), F.lit("{{q}}"), F.trim("text")).alias("search")) for k, t in TEMPLATES.items()])
+    return own.select(*queries.columns, F.inline(rows))
+
+
+def name_uuid(*parts: Column) -> Column:
+    """A version-4 shaped UUID made from the parts' hash, so that a rerun names the same things alike."""
+    h = F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("\x00")) for p in parts]), 256)
+    variant = F.substring(F.lit("89ab"), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4) + 1, F.lit(1))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("4"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+def clock(c: Column) -> Column:
+    """Hours and minutes of a time in text."""
+    return F.coalesce(F.date_format(F.try_to_timestamp(c), "HH:mm"), F.lit("--:--"))
+
+
+def day(c: Column) -> Column:
+    return F.coalesce(F.date_format(F.try_to_timestamp(c), "dd.MM.yyyy"), F.lit("unknown date"))

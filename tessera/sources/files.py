@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,3 +69,42 @@ def page_text(html: Column, links: bool = True) -> Column:
         text = F.replace(text, F.lit(name), F.lit(sign))
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[ \t\x0B\f\r]+", " "), r" ?\n ?", "\n"), r"\n{3,}", "\n\n")
     return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+_EMBEDDED = re.compile(r"""<script[^>]*type=["']application/(?:ld\+)?json["'][^>]*>(.*?)</script>""", re.I | re.S)
+_MARKUP = re.compile(r"<[^>]+>|&nbsp;")
+#: Strings of a page, and visited values of a script, at most: the fallback's own limits.
+STRINGS, VALUES = 400, 200_000
+
+
+def embedded_strings(html: str | None, least: int = 80) -> list[str]:
+    """The long strings of a page's embedded JSON without markup, each once; the last member of a list or object comes first."""
+    found: dict[str, None] = {}
+    left = STRINGS
+    for script in _EMBEDDED.finditer(html or ""):
+        try:
+            waiting = [json.loads(script[1])]
+        except (ValueError, RecursionError):
+            continue
+        for _ in range(VALUES):
+            if not waiting or not left:
+                break
+            value = waiting.pop()
+            if isinstance(value, str):
+                if len(value) >= least:
+                    found[_MARKUP.sub(" ", value)] = None
+                    left -= 1
+            elif isinstance(value, (list, dict)):
+                waiting.extend(value.values() if isinstance(value, dict) else value)
+    return list(found)
+
+
+def embedded_text(pages: DataFrame, least: int = 80) -> DataFrame:
+    """page_id, text of the JSON that pages carry in scripts, for pages whose text scripts draw; empty where there is none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = ["\n".join(embedded_strings(h.as_py(), least)).encode("utf-8", "replace").decode() for h in batch["html"]]
+            yield pa.record_batch([batch["page_id"], pa.array(texts, pa.string())], names=["page_id", "text"])
+
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(run, "page_id long, text string")
