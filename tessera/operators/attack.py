@@ -56,6 +56,16 @@ def matrix(items: DataFrame, catalogue: DataFrame) -> DataFrame:
     return base.join(tactics, "base").select("case_id", "tactic", F.col("base").alias("id"), (~F.col("own")).alias("dimmed"))
 
 
+def legend(items: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """case_id, counts by verdict of the techniques that a case's matrix shows: each counts once, whatever its tactics, and one that only its
+    sub-techniques brought in counts as unknown."""
+    own = _case(items).select("case_id", "id", "verdict")
+    shown = matrix(items, catalogue).select("case_id", "id").distinct()
+    bases = shown.join(own, ["case_id", "id"], "left").select("case_id", "id", F.coalesce("verdict", F.lit("unknown")).alias("verdict"))
+    parts = own.filter(F.contains("id", F.lit("."))).withColumn("base", F.substring_index("id", ".", 1)).join(catalogue.select("id"), "id").join(shown.withColumnRenamed("id", "base"), ["case_id", "base"])
+    return bases.unionByName(parts.select(*bases.columns)).groupBy("case_id").agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS])
+
+
 def layer(items: DataFrame, client: bool = False) -> DataFrame:
     """case_id, techniques: the enterprise techniques of a case for a matrix viewer, first ones win, comments left out in client mode."""
     own = items.filter(F.col("type") == "attack").withColumn("id", technique_id("value")).filter("id is not null and not startswith(id, 'T0')")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .noise import suffixes
+from .tables import saved
 
 ENOUGH = 11
-MAX_STEPS = 50
 
 
 def nodes(items: DataFrame) -> DataFrame:
@@ -46,16 +46,19 @@ def shown(items: DataFrame) -> DataFrame:
 def chains(links: DataFrame) -> DataFrame:
     """start, step, url: chains of redirects from addresses that nothing leads to, followed until they end or come round.
 
-    `links` has url, target, ord; the last target of an address counts. One join a step, on the frontier only.
+    `links` has url, target, ord; the last target of an address counts. By doubling: the walks of 2 ** k steps are carried on by jumps of 2 ** k steps, so
+    the rounds grow with the logarithm of the longest chain, which has no bound. An address has one target, so behind one that comes round all come round:
+    the first step at which a chain meets an address is all that has to be kept. Rows without an address or a target lead nowhere.
     """
-    moves = links.filter("target is not null and target <> '' and target <> url").groupBy("url").agg(F.max_by("target", "ord").alias("target"))
-    starts = moves.join(moves.select(F.col("target").alias("url")).distinct(), "url", "left_anti").select(F.col("url").alias("start"))
-    spark = links.sparkSession
-    moves.createOrReplaceTempView("_moves")
-    starts.createOrReplaceTempView("_starts")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(start, step, url, seen) MAX RECURSION LEVEL {MAX_STEPS} AS (
-            SELECT start, 0, start, array(start) FROM _starts
-            UNION ALL
-            SELECT w.start, w.step + 1, m.target, array_append(w.seen, m.target) FROM walk w JOIN _moves m ON m.url = w.url WHERE NOT array_contains(w.seen, m.target))
-        SELECT start, step, url FROM walk""")
+    moves = links.filter("url is not null and target is not null and target <> '' and target <> url").groupBy("url").agg(F.max_by("target", "ord").alias("target"))
+    jumps, reach = saved(moves), 1
+    starts = jumps.join(jumps.select(F.col("target").alias("url")).distinct(), "url", "left_anti")
+    walks = saved(starts.select(F.col("url").alias("start"), F.lit(0).alias("step"), "url"))
+    n = walks.count()
+    while True:
+        on = walks.join(jumps, "url").select("start", (F.col("step") + reach).alias("step"), F.col("target").alias("url"))
+        longer = saved(walks.unionByName(on).groupBy("start", "url").agg(F.min("step").alias("step")))
+        before, n, walks = n, longer.count(), longer
+        if n == before:
+            return walks.select("start", "step", "url")
+        jumps, reach = saved(jumps.join(jumps.select(F.col("url").alias("target"), F.col("target").alias("_next")), "target").select("url", F.col("_next").alias("target"))), 2 * reach

@@ -132,3 +132,13 @@ def without_address(entries: DataFrame) -> DataFrame:
     """har_id, problem: how many entries of an archive name no server address."""
     bare = F.count_if(F.coalesce("ip", F.lit("")) == "")
     return entries.groupBy("har_id").agg(bare.alias("n")).filter("n > 0").select("har_id", F.concat(F.col("n").cast("string"), F.lit(" entries have no server address")).alias("problem"))
+
+
+#: Addresses opened at once, and the milliseconds before the next ones.
+AT_ONCE, PAUSE = 5, 400
+
+
+def batched(steps: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Adds batch and wait (milliseconds from the start) to addresses that are to be opened in order, a few at a time."""
+    batch = F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1) / AT_ONCE).cast("int")
+    return steps.withColumn("batch", batch).withColumn("wait", F.col("batch") * PAUSE)

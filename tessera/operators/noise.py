@@ -92,6 +92,21 @@ def shell_like(html: str, text: str) -> Column:
     return (F.length(text) < 900) & (F.length(html) > 25 * F.length(text))
 
 
+# Fixed value: a dot in words, as it is undone in addresses before their host is read.
+DOT_WORD = r"(?i)\s*\[?(?:точка|dot)\]?\s*"
+
+
+def telemetry_urls(rows: DataFrame) -> DataFrame:
+    """Adds telemetry to rows of (url): whether an address, disarmed or without a scheme, leads to a counter, a tracker or a widget."""
+    armed = F.regexp_replace(F.regexp_replace(F.trim(F.coalesce("url", F.lit(""))), "(?i)^h(?:xx|__)p", "http"), r"\[\.\]|\(\.\)|\{\.\}", ".")
+    armed = F.regexp_replace(F.regexp_replace(armed, r"\[:\]", ":"), DOT_WORD, ".")
+    full = F.when(armed.rlike("(?i)^[a-z][a-z0-9+.-]*://"), armed).otherwise(F.concat(F.lit("http://"), armed))
+    own = rows.withColumn("_host", F.regexp_replace(T.url_host(full), r"\.$", ""))
+    base = host_lists(rows.sparkSession).filter("reason = 'telemetry'").select("base")
+    hit = own.select("_host").distinct().select("_host", F.explode(suffixes(F.col("_host"))).alias("base")).join(base, "base").select("_host").distinct()
+    return own.join(hit.withColumn("telemetry", F.lit(True)), "_host", "left").withColumn("telemetry", F.coalesce("telemetry", F.lit(False))).drop("_host")
+
+
 def token_like(part: Column) -> Column:
     """Whether a part of an address looks like a secret: sixteen characters or more, no slug, and hexadecimal, two digits or mixed case."""
     slug = part.rlike(r"\A[a-z]+(?:[-_][a-z]+)+\z")

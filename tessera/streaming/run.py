@@ -2,20 +2,9 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset, below a temporary one, but only on one machine: executors don't share theirs."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-    base = base or tempfile.mkdtemp(prefix="tessera-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from ..operators.tables import shared
 
 
 def source(spark: SparkSession, sf_dir: str, name: str, schema: str) -> DataFrame:
@@ -25,7 +14,7 @@ def source(spark: SparkSession, sf_dir: str, name: str, schema: str) -> DataFram
 
 def drained(stream: DataFrame, mode: str = "update") -> DataFrame:
     """All that the stream emits until its source is used up; batches that are retried overwrite their own folder."""
-    spark, path = stream.sparkSession, shared(stream.sparkSession)
+    spark, path = stream.sparkSession, shared(stream.sparkSession, "stream")
     put = lambda df, n: df.write.mode("overwrite").parquet(f"{path}/out/batch={n}")
     q = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
