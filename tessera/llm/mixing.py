@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import common
 
@@ -34,8 +35,8 @@ MAX_SOURCES = 1_000_000
 DRAWN = 10**9
 
 
-def permuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
-    """A pseudorandom permutation of range(n), by a Feistel network over the next even number of bits, walked until inside."""
+def permuted(x: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarray:
+    """A pseudorandom permutation of range(n), by a Feistel network over the next even number of bits, walked until inside; its inverse with back=True."""
     half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
     mask, rounds = np.uint64((1 << half) - 1), np.random.SeedSequence(key).generate_state(6, np.uint64)
     out = x.astype(np.uint64)
@@ -43,11 +44,15 @@ def permuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
     while len(todo):
         v = out[todo]
         left, right = v >> np.uint64(half), v & mask
-        for k in rounds:
+        if back:
+            left, right = right, left
+        for k in rounds[::-1] if back else rounds:
             h = (right + k) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
             h *= np.uint64(0xBF58476D1CE4E5B9)
             left, right = right, left ^ ((h >> np.uint64(32)) & mask)
+        if back:
+            left, right = right, left
         v = (left << np.uint64(half)) | right
         out[todo] = v
         todo = todo[v >= np.uint64(n)]
@@ -154,6 +159,32 @@ def targets(sources: DataFrame, share: float, limit: float) -> DataFrame:
     return sources.withColumn("target", F.least(F.col("source_size") * F.lit(float(limit)), F.col("weight") * F.lit(rate)))
 
 
+def slots_for(target: float, size: int, block: int, most: int, key) -> int:
+    """The number of slots, `most` at most, whose words come nearest to the target, fewer if two do.
+
+    A source's last block may be short; the permutation says in which slots it comes, so the words of any number of slots are known."""
+    blocks = -(-size // block)
+    if not blocks:
+        return 0
+    short = block * blocks - size
+    at = int(permuted(np.array([blocks - 1]), blocks, key, back=True)[0])
+    words = lambda k: block * k - short * (k // blocks + (k % blocks > at))
+    near = int(target * blocks / size)
+    return min((min(max(k, 0), most) for k in range(near - 2, near + 4)), key=lambda k: (abs(words(k) - target), k))
+
+
+def slotted(sources: DataFrame, limit: float, block: int, seed: int) -> DataFrame:
+    """Adds slots to the sources."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch[c].to_pylist() for c in ("target", "source_size", "blocks", "index")), strict=True)
+            slots = [slots_for(t, n, block, math.floor(limit * b), [seed, i]) for t, n, b, i in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(slots, pa.int64())], names=[*batch.schema.names, "slots"])
+
+    return sources.mapInArrow(run, StructType([*sources.schema, StructField("slots", LongType())]))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = LIMIT, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> Mix:
     """Plans the mix: which blocks of words of which source fill which slots of which shard."""
     own = common.save(sized(docs))
@@ -161,10 +192,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = L
     sources = common.global_index(sums, ["_null", "source"], "index")
     sources = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("index") % len(weights) + 1).cast("int")))
     sources = targets(sources, share, limit).withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
-    mean = F.col("source_size") / F.col("blocks")
-    most = F.floor(F.lit(limit) * F.col("blocks"))
-    wanted = F.when(F.col("source_size") > 0, F.least(F.round(F.col("target") / mean), most)).otherwise(0)
-    sources = common.save(sources.withColumn("slots", wanted.cast("long")))
+    sources = common.save(slotted(sources, limit, block, seed))
     documents = common.running_start(own, ["source", "_null"], ["doc_id", "_hash", "size"], "size", "start")
     n = sources.count()
     if n > MAX_SOURCES:
