@@ -59,6 +59,7 @@ def chains(links: DataFrame) -> DataFrame:
         on = walks.join(jumps, "url").select("start", (F.col("step") + reach).alias("step"), F.col("target").alias("url"))
         longer = saved(walks.unionByName(on).groupBy("start", "url").agg(F.min("step").alias("step")))
         before, n, walks = n, longer.count(), longer
-        if n == before:
+        if n > before:
+            jumps, reach = saved(jumps.join(jumps.select(F.col("url").alias("target"), F.col("target").alias("_next")), "target").select("url", F.col("_next").alias("target"))), 2 * reach
+        if n == before or jumps.isEmpty():
             return walks.select("start", "step", "url")
-        jumps, reach = saved(jumps.join(jumps.select(F.col("url").alias("target"), F.col("target").alias("_next")), "target").select("url", F.col("_next").alias("target"))), 2 * reach
