@@ -13,6 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.timeline import CAP, DISMISS_DAYS, MERGE_SECONDS, MERGEABLE, QUEUE, TRUNCATED
 
 PAGES, SESSION_SECONDS, PAUSE_MS, ADDRESSES = 200, 2 * 3600, 800, 30
+#: Into how many states a queue without a cap is dealt.
+PARTS = 64
 
 
 def windowed(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
@@ -28,13 +30,18 @@ def _load(state: GroupState, empty: dict) -> dict:
     return json.loads(state.get[0]) if state.exists else empty
 
 
-def triage(actions: DataFrame) -> DataFrame:
-    """Actions (queue, ord, action: found, dismiss, take or forget, k, t) -> queue, k, n, dropped after each batch; the queue's cap bounds the state."""
+def triage(actions: DataFrame, cap: int | None = QUEUE, parts: int = PARTS) -> DataFrame:
+    """Actions (queue, ord, action: found, dismiss, take or forget, k, t) -> queue, k, n, dropped after each batch; the queue's cap bounds the state.
+
+    Without a cap (None) nothing is dropped. A queue's keys then don't depend on each other, so they are dealt to `parts` states by hash, and each of these
+    gets every `forget`. An action without a time lets no dismissal lapse; a dismissal without one is as old as the epoch."""
+    own = F.array(F.lit(0) if cap is not None else F.pmod(F.xxhash64("k"), F.lit(parts)).cast("int"))
+    each = own if cap is not None else F.when(F.col("action") == "forget", F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(own)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         s = _load(state, {"items": {}, "gone": {}, "dropped": 0})
         for r in pd.concat(list(frames)).sort_values("ord").itertuples():
-            now = r.t.timestamp()
+            now = 0.0 if pd.isna(r.t) else r.t.timestamp()
             s["gone"] = {k: t for k, t in s["gone"].items() if now - t <= DISMISS_DAYS * 86400}
             if r.action == "forget":
                 s["gone"] = {}
@@ -44,13 +51,14 @@ def triage(actions: DataFrame) -> DataFrame:
                     s["gone"].setdefault(r.k, now)
             elif r.k not in s["gone"]:
                 s["items"][r.k] = s["items"].get(r.k, 0) + 1
-                while len(s["items"]) > QUEUE:
+                while cap is not None and len(s["items"]) > cap:
                     s["items"].pop(next(iter(s["items"])))
                     s["dropped"] += 1
         state.update((json.dumps(s),))
         yield pd.DataFrame({"queue": key[0], "k": list(s["items"]), "n": list(s["items"].values()), "dropped": s["dropped"]})
 
-    return actions.groupBy("queue").applyInPandasWithState(step, "queue long, k string, n long, dropped long", "s string", "update", GroupStateTimeout.NoTimeout)
+    dealt = actions.select("*", F.explode(each).alias("part")).groupBy("queue", "part")
+    return dealt.applyInPandasWithState(step, "queue long, k string, n long, dropped long", "s string", "update", GroupStateTimeout.NoTimeout)
 
 
 def captures(pages: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
 """Rows made for one rule each, for operators whose SQL twin covers only part of them."""
 
+import collections
 import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import attack, exports, graph, lists, noise, ranges, registry, stores, timeline
+from tessera.plans import source_queries
 from tessera.sources import files, har, mail
 from tessera.streaming import run, state
 
@@ -179,6 +181,33 @@ def test_streams_match_batches(spark, tmp_path):
     assert got == want
 
 
+def test_stream_without_a_cap_keeps_every_key(spark, tmp_path):
+    data = [(q, k, "found", f"k{k % 400}", T0 + dt.timedelta(seconds=k)) for k in range(801) for q in (0, None)] + [(0, 801, "dismiss", "k1", T0), (0, 802, "dismiss", "k2", T0), (0, 803, "found", "k1", T0)]
+    data += [(0, 804, "forget", None, T0), (0, 805, "found", "k1", T0), (0, 806, "found", "k2", T0), (0, 807, "take", "k3", T0), (0, 808, "found", None, T0), (None, 809, "dismiss", "k5", T0), (None, 810, "found", "k5", T0)]
+    schema = "queue long, ord long, action string, k string, t timestamp"
+    spark.createDataFrame(data, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    read = lambda **more: rows(run.drained(state.triage(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), **more)))
+    whole = {f"k{k}": 3 if k == 0 else 2 for k in range(400)}
+    first = {k: n for k, n in whole.items() if k != "k3"} | {"k1": 1, "k2": 1, None: 1}
+    second = {k: n for k, n in whole.items() if k != "k5"}
+    for parts in (1, 8):
+        got = read(cap=None, parts=parts)
+        assert {r["dropped"] for r in got} == {0} and len(got) == len(first) + len(second)
+        assert {(r["queue"], r["k"]): r["n"] for r in got} == {(0, k): n for k, n in first.items()} | {(None, k): n for k, n in second.items()}
+    capped = read(cap=5)
+    assert sum(r["queue"] == 0 for r in capped) == 5 and sum(r["queue"] is None for r in capped) == 5 and min(r["dropped"] for r in capped) > 0
+
+
+def test_stream_query_counts_all_users(spark, tmp_path):
+    at = lambda k: None if k % 50 == 0 else dt.datetime(2024, 1, 1) + dt.timedelta(seconds=k)
+    data = [(k, at(k), None if k % 97 == 0 else 7 * (k % 350), "view", 1.0, "") for k in range(1000)]
+    spark.createDataFrame(data, source_queries.EVENTS).coalesce(1).write.parquet(str(tmp_path / "w"))
+    next((tmp_path / "w").glob("part-*")).rename(tmp_path / "events.parquet")
+    got = {(r["queue"], r["k"]): r["n"] for r in rows(source_queries.t2_stream_triage(spark, str(tmp_path)))}
+    users = collections.Counter(u for _, _, u, *_ in data)
+    assert got == {(None if u is None else u % 7, None if u is None else f"v{u}"): n for u, n in users.items()}
+
+
 def test_capture_gate(spark, tmp_path):
     at = lambda s: T0 + dt.timedelta(seconds=s)
     data = [(1, 0, 1, "https://a", at(0)), (1, 1, 1, "https://a", at(0.5)), (1, 2, 2, "https://a", at(5)), (1, 3, 1, "https://b", at(6)), (1, 4, 1, "https://a", at(7)), (1, 5, 1, "https://a", at(7200))]
