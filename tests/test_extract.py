@@ -56,6 +56,22 @@ def test_guess_passes():
     assert joined["url", "http://a.example.com/long-path/x"].flags == ["ambiguous:wrap"] and ("url", "http://a.example.com/long-") not in joined
 
 
+def test_pieces_of_wrapped_hashes_are_no_addresses():
+    first, second, base58 = "bc12d83eaae55aa090c7026f0dd3e2ebcccd95cf", "6c94670146030fcd618614bafbc1cf650dfea57a", "1" + "a2" * 15 + "b" * 33
+    for h, at in ((first, 25), (second, 25), (base58, 31)):
+        cut = f"{h[:at]}\n{h[at:]}"
+        kind = {40: "sha1", 64: "sha256"}[len(h)]
+        for text in (f"hash\n{cut}", f"> x {h[:at]}\n> {h[at:]}.", f"{cut}\nand\n{cut}"):
+            assert [(i.type, i.value, i.flags) for i in exact.extract(text)] == [(kind, h, ["ambiguous:wrap"])]
+    # It stays where it stands by itself as well, where the hash is not joined, and where the checksum holds.
+    for text in (f"{first[:25]} again {first[:25]}\n{first[25:]}", f"{first[:25]}\n\n{first[:25]}\n{first[25:]}"):
+        assert found(text)["btc", first[:25]].n == 2 and ("sha1", first) in found(text)
+    assert list(found(f"{first[:25]}\n{first[25:]} x")) == [("btc", first[:25])]
+    assert exact.wallet("1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa") and exact.wallet("3J98t1WpEZ73CNmQviecrnyiWrnqRhWNLy") and not exact.wallet("1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNb")
+    assert exact.wallet("bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4") and exact.wallet("bc1p0xlxvlhemja6c4dqv22uapctqupfhlxm9h8z3k2e72q4k9hcz7vqzk5jj0")
+    assert not exact.wallet("bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t5") and not exact.wallet("1" + "a" * 30)
+
+
 @pytest.mark.parametrize("make", [lambda n: " " * n, lambda n: "a" * n, lambda n: "http://a.example.com/x " * (n // 24), lambda n: "a." * (n // 2), lambda n: "[.]" * (n // 3), lambda n: "1" * n])
 def test_time_grows_in_proportion(make):
     def took(n):
